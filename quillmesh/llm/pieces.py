@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.runtime import latest
+
 TRIMMED = " \t\n\r"
 
 #: Boundaries by strength; a cut lies at the end of the match.
@@ -116,11 +118,13 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
 
 
-def split_oversized(texts: DataFrame, configs: DataFrame) -> DataFrame:
+def split_oversized(bundles: DataFrame, configs: DataFrame) -> DataFrame:
     """Pieces ``(rid, config_id, chunk_index, start_pos, end_pos, chunk_text)`` of every text above a configuration's size.
 
-    ``texts`` has rid and search_text; ``configs`` config_id, chunk_size and chunk_overlap. The configurations are
-    settings (one row per embedding model), so they are brought to the driver and sent along with the function.
+    ``bundles`` has versions (rid, updated_at, search_text), of which the latest counts; ``configs`` config_id,
+    chunk_size and chunk_overlap. The configurations are settings (one row per embedding model), so they are brought
+    to the driver and sent along with the function. Texts that no configuration cuts are left behind before the
+    shuffle that picks the versions.
     """
     plans = sorted(
         (r.config_id, r.chunk_size, overlap_chars(r.chunk_size, r.chunk_overlap))
@@ -128,6 +132,8 @@ def split_oversized(texts: DataFrame, configs: DataFrame) -> DataFrame:
         if r.config_id is not None and r.chunk_size is not None and r.chunk_size >= 2
     )
     least = min((p[1] for p in plans), default=1 << 30)
-    long = texts.select("rid", trimmed(F.col("search_text")).alias("body")).where(F.length("body") > least)
+    body = trimmed(F.col("search_text"))
+    versions = bundles.select("rid", "updated_at", F.when(F.length("search_text") > least, F.when(F.length(body) > least, body)).alias("body"))
+    long = latest(versions, "rid", "updated_at", "rid", "body").where("body is not null")
     pieces = long.mapInArrow(_cutter(plans), "rid string, config_id string, chunk_index int, start_pos int, end_pos int, body string")
     return pieces.withColumnRenamed("body", "chunk_text")

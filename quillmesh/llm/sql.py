@@ -21,7 +21,7 @@ m AS (
   SELECT reference, regexp_extract(reference, '^([^:]+):(.+):([0-9]+)$', 2) AS thread_id,
     CAST(regexp_extract(reference, '^([^:]+):(.+):([0-9]+)$', 3) AS HUGEINT) AS num,
     json_valid(contents) AS ok, CASE WHEN json_valid(contents) THEN contents END AS j
-  FROM cur WHERE namespace = 'legion.claude-message' AND regexp_full_match(reference, '[^:]+:.+:[0-9]+')),
+  FROM cur WHERE namespace LIKE '%-message' AND regexp_full_match(reference, '[^:]+:.+:[0-9]+')),
 f AS (
   SELECT reference, thread_id, num, coalesce(ok, false) AS ok, json_extract_string(j, '$.content') AS content,
     json_extract_string(j, '$.content_type') AS ctype, json_extract_string(j, '$.sender_id') AS sender,
