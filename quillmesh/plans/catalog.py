@@ -1,7 +1,10 @@
-"""All queries of the core with their SQL."""
+"""All queries of the core with their SQL; importing the modules registers them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = "agg01_count_by_namespace"
+from quillmesh.plans import dml, measures, relational, retrieval, streams, textual  # noqa: F401
+from quillmesh.plans.registry import ORACLE, QUERIES
+
+FLAGSHIP = "ret03_hybrid_search"
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
