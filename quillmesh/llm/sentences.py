@@ -153,7 +153,7 @@ def features(prev2: str, prev: str, shape: str, following: str, script: str) ->
         f"n={following}",
         f"len={min(6, len(bare))}{'.' if '.' in bare else ''}{'9' if '9' in bare else ''} {script}",
         f"len={min(6, len(bare))}{'.' if '.' in bare else ''}{'9' if '9' in bare else ''} {shape}",
-        f"abbr={bare in NEVER_LAST} {'up' if shape in ('up', 'open') else shape}",
+        f"abbr={bare in NEVER_LAST or (len(bare) == 1 and bare.isalpha())} {'up' if shape in ('up', 'open') else shape}",
     ]
 
 

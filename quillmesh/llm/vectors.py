@@ -6,8 +6,9 @@ search of radius r enters both sides of a node where |d(q, vantage) - median| <=
 the triangle inequality and the search is exact, a larger factor leaves out more. Inside a leaf all distances are
 computed, in blocks.
 
-Shards of more rows than ``block`` are cut into blocks and met block by block, so no task holds more than one block
-of stored rows and one group of searching rows, even if a third of all vectors are equal.
+Shards of more rows than ``block`` are cut into blocks, and their searching rows into parts, which meet one by one; so
+no task holds more than about ``block`` stored and four times as many searching rows, even if a third of all vectors
+are equal. The numbers of blocks and parts follow from the sample's shares, with a quarter to spare.
 
 Usable vectors have exactly the configuration's dimensions, no null, NaN or infinite element, and aren't all zero.
 Others, null and empty ones, and rows of an unknown configuration take no part. Rows with a null vec_id take none.
@@ -21,12 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: The tree of a configuration is fitted on about so many of its vectors.
-SAMPLE = 4096
+#: The tree of a configuration is fitted on about so many of its vectors for each leaf, within these bounds.
+SAMPLE_PER_LEAF = 128
+SAMPLE = (2048, 65_536)
 #: Rows that a leaf should hold, and most stored rows that one group compares.
 LEAF = 8192
 BLOCK = 8192
@@ -116,16 +119,18 @@ def _usable(chunks: DataFrame, configs: DataFrame) -> DataFrame:
     )
 
 
-def fit_trees(usable: DataFrame, leaf: int = LEAF, sample: int = SAMPLE, k: int = 10) -> dict[str, tuple[VantageTree, int, float]]:
-    """Per configuration: tree, number of rows, and a radius within which the k nearest of nearly every vector lie.
+def fit_trees(usable: DataFrame, leaf: int = LEAF, sample: tuple[int, int] = SAMPLE, k: int = 10) -> dict[str, tuple[VantageTree, int, float, np.ndarray]]:
+    """Per configuration: tree, number of rows, a radius within which the k nearest of nearly every vector lie, and
+    the sample.
 
-    Fitted on the vectors with the least hashes of their ids, about ``sample`` of each configuration. Configurations
-    are settings, so what reaches the driver is bounded by sample x dimensions of each.
+    Fitted on the vectors with the least hashes of their ids: ``SAMPLE_PER_LEAF`` for each leaf, at least and at most
+    ``sample`` of a configuration. Configurations are settings, so what reaches the driver is bounded by the greater
+    of these x dimensions of each.
     """
     counts = {r.config_id: r.n for r in usable.groupBy("config_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for c, n in sorted(counts.items()) for x in (c, min(1.0, sample / n))])
+    share = F.create_map(*[F.lit(x) for c, n in sorted(counts.items()) for x in (c, min(1.0, min(sample[1], max(sample[0], SAMPLE_PER_LEAF * n // leaf)) / n))])
     picked = usable.where((F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / float(1 << 30)) < share[F.col("config_id")])
     got = picked.select("config_id", "embedding").toArrow()
     trees = {}
@@ -142,15 +147,36 @@ def fit_trees(usable: DataFrame, leaf: int = LEAF, sample: int = SAMPLE, k: int
             kth = -np.partition(-some, k, axis=1)[:, k]
             radius = float(np.sqrt(max(0.0, 2 - 2 * np.percentile(kth, 5))))
         depth = max(0, math.ceil(math.log2(max(1.0, n / leaf))))
-        trees[config] = (VantageTree(points, depth), n, radius)
+        trees[config] = (VantageTree(points, depth), n, radius, points)
     return trees
 
 
-_ROUTED = "config_id string, leaf int, block int, stored boolean, searching boolean, vec_id long, unit binary"
+def _plan(trees: dict, margins: dict[str, float], block: int, every: int | None) -> dict[str, tuple[VantageTree, dict[int, tuple[int, int]]]]:
+    """Per configuration and leaf the numbers of blocks and of searching parts."""
+    out = {}
+    for config, (tree, n, _, points) in trees.items():
+        enter = {node: len(rows) / max(1, len(points)) for node, rows, _ in tree.visit(points, margins[config])}
+        sizes = {}
+        for node, share in tree.share.items():
+            searching = enter.get(node, 0.0) * n / (every or 1)
+            sizes[node] = tuple(1 if x <= most else math.ceil(1.25 * x / most) for x, most in ((share * n, block), (searching, 4 * block)))
+        out[config] = (tree, sizes)
+    return out
 
 
-def _router(trees: dict, margins: dict[str, float], block: int, every: int | None):
-    """Rows for the groups they take part in. every None: pairs, all rows search; else those with vec_id % every == 0."""
+_ROUTED = "config_id string, leaf int, block int, part int, stored boolean, searching boolean, vec_id long, unit binary"
+
+
+def _scatter(ids: np.ndarray, shift: int, n: int) -> np.ndarray:
+    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(shift)).astype(np.int64) % n
+
+
+def _router(plan: dict, margins: dict[str, float], every: int | None):
+    """Rows for the groups they take part in. every None: pairs, all rows search; else those with vec_id % every == 0.
+
+    A stored row goes to every part of its block, a searching row to its part of every block. For pairs, the rows of a
+    block meet each other in part 0, and search the later blocks of their leaf.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,37 +187,33 @@ def _router(trees: dict, margins: dict[str, float], block: int, every: int | Non
                 for config in set(names[rows].tolist()):
                     own = np.flatnonzero(names[rows] == config)
                     ids, units = ids_all[rows[own]], matrix[own]
-                    tree, n, _ = trees[config]
-                    parts = [[], [], [], [], []]
+                    tree, sizes = plan[config]
+                    held: list[list[np.ndarray]] = [[], [], [], [], [], []]
 
-                    def add(leaf, blocks, stored, searching, which):
-                        for held, x in zip(parts, (np.full(len(which), leaf, dtype=np.int32), blocks.astype(np.int32), np.full(len(which), stored), np.full(len(which), searching), which), strict=True):
-                            held.append(x)
+                    def add(leaf, block, part, stored, searching, which):
+                        full = (np.full(len(which), x, dtype=np.int32) if np.isscalar(x) else x.astype(np.int32) for x in (leaf, block, part))
+                        for column, x in zip(held, (*full, np.full(len(which), stored), np.full(len(which), searching), which), strict=True):
+                            column.append(x)
 
                     for leaf, who, home in tree.visit(units, margins[config]):
-                        blocks = max(1, math.ceil(1.25 * tree.share[leaf] * n / block)) if tree.share[leaf] * n > block else 1
-                        at = (ids[who].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % blocks
-                        if every is None:
-                            add(leaf, at[home], True, True, who[home])
-                            for b in range(blocks):
-                                add(leaf, np.full((~home).sum(), b), False, True, who[~home])
-                                later = home & (at < b)
-                                add(leaf, np.full(later.sum(), b), False, True, who[later])
-                        else:
-                            asks = ids[who] % every == 0
-                            add(leaf, at[home], True, False, who[home])
-                            for b in range(blocks):
-                                add(leaf, np.full(asks.sum(), b), False, True, who[asks])
-                    which = np.concatenate(parts[4])
+                        blocks, parts = sizes[leaf]
+                        at, part = _scatter(ids[who], 40, blocks), _scatter(ids[who], 20, parts)
+                        for p in range(parts):
+                            add(leaf, at[home], p, True, every is None and p == 0, who[home])
+                        asks = ~home if every is None else ids[who] % every == 0
+                        for b in range(blocks):
+                            ask = asks | (home & (at < b)) if every is None else asks
+                            add(leaf, b, part[ask], False, True, who[ask])
+                    which = np.concatenate(held[5])
                     raw, width = units.tobytes(), units.shape[1] * 4
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([config] * len(which), type=pa.string()),
-                            *(pa.array(np.concatenate(p)) for p in parts[:4]),
+                            *(pa.array(np.concatenate(p)) for p in held[:5]),
                             pa.array(ids[which], type=pa.int64()),
                             pa.array([raw[i * width : (i + 1) * width] for i in which.tolist()], type=pa.binary()),
                         ],
-                        names=["config_id", "leaf", "block", "stored", "searching", "vec_id", "unit"],
+                        names=["config_id", "leaf", "block", "part", "stored", "searching", "vec_id", "unit"],
                     )
 
     return run
@@ -209,10 +231,11 @@ def _pairs_in_group(least: float):
         stored = table.column("stored").to_numpy(zero_copy_only=False).astype(bool)
         ids, home = _matrix(table, stored)
         other_ids, other = _matrix(table, ~stored)
+        among = bool(pc.any(pc.and_(table.column("stored"), table.column("searching"))).as_py())
         left, right, cosines = [], [], []
         for s in range(0, len(ids), _TILE):
             data = home[s : s + _TILE]
-            for who, queries, own in ((ids, home, True), (other_ids, other, False)):
+            for who, queries, own in ((ids, home, True), (other_ids, other, False))[not among :]:
                 for q in range(s if own else 0, len(who), _TILE):
                     dots = queries[q : q + _TILE] @ data.T
                     a, b = np.nonzero(dots >= least - 1e-6)
@@ -263,8 +286,8 @@ def similar_pairs(chunks: DataFrame, configs: DataFrame, least: float = 0.9, fac
     usable = _usable(chunks, configs)
     trees = fit_trees(usable, leaf)
     margins = {c: math.sqrt(2 - 2 * least) / factor for c in trees}
-    routed = usable.select("vec_id", "config_id", "embedding", "dimensions").mapInArrow(_router(trees, margins, block, None), _ROUTED)
-    pairs = routed.groupBy("config_id", "leaf", "block").applyInArrow(_pairs_in_group(least), "vec_id_a long, vec_id_b long, cosine double")
+    routed = usable.select("vec_id", "config_id", "embedding", "dimensions").mapInArrow(_router(_plan(trees, margins, block, None), margins, None), _ROUTED)
+    pairs = routed.groupBy("config_id", "leaf", "block", "part").applyInArrow(_pairs_in_group(least), "vec_id_a long, vec_id_b long, cosine double")
     return pairs.groupBy("vec_id_a", "vec_id_b").agg(F.max("cosine").alias("cosine"))
 
 
@@ -275,8 +298,8 @@ def nearest(chunks: DataFrame, configs: DataFrame, k: int = 10, every: int = 20,
     """
     usable = _usable(chunks, configs)
     trees = fit_trees(usable, leaf, k=k)
-    margins = {c: (4.0 if factor <= 1 else r / factor) for c, (_, _, r) in trees.items()}
-    routed = usable.select("vec_id", "config_id", "embedding", "dimensions").mapInArrow(_router(trees, margins, block, every), _ROUTED)
-    found = routed.groupBy("config_id", "leaf", "block").applyInArrow(_nearest_in_group(k), "vec_id long, neighbour long, cosine double")
+    margins = {c: (4.0 if factor <= 1 else r / factor) for c, (_, _, r, _) in trees.items()}
+    routed = usable.select("vec_id", "config_id", "embedding", "dimensions").mapInArrow(_router(_plan(trees, margins, block, every), margins, every), _ROUTED)
+    found = routed.groupBy("config_id", "leaf", "block", "part").applyInArrow(_nearest_in_group(k), "vec_id long, neighbour long, cosine double")
     order = W.partitionBy("vec_id").orderBy(F.desc("cosine"), "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("vec_id", "rank", "neighbour", "cosine")
