@@ -64,7 +64,7 @@ def fuse(fts: DataFrame, near: DataFrame, alpha: float | Column, by: tuple[str,
     alpha = F.lit(alpha) if isinstance(alpha, (int, float)) else alpha
     both = scaled.join(near, [*by, "rid"], "full_outer")
     score = alpha * F.coalesce("fts_score", F.lit(0.0)) + (1 - alpha) * F.coalesce("similarity", F.lit(0.0))
-    return both.withColumn("score", F.round(score, 6)).select(*by, "rid", "score", "rank", "similarity", *[c for c in ("chunk_text",) if c in near.columns])
+    return both.withColumn("score", F.round(score, 12)).select(*by, "rid", "score", "rank", "similarity", *[c for c in ("chunk_text",) if c in near.columns])
 
 
 def reciprocal_rank_fusion(*runs: DataFrame, constant: int = RANK_CONSTANT) -> DataFrame:

@@ -74,12 +74,12 @@ def ret02(spark, d):
     "ret03_hybrid_search",
     f"""WITH {_BM25}, {_VEC.format(n=300, m=60)}, f AS (SELECT rid, round(rank, 5) AS rank FROM fts ORDER BY round(rank, 5) DESC, rid LIMIT 60),
     b AS (SELECT min(rank) AS lo, max(rank) AS hi FROM f), g AS (SELECT rid, CASE WHEN hi > lo THEN (rank - lo) / (hi - lo) ELSE 1.0 END AS fs FROM f, b)
-    SELECT coalesce(g.rid, near.rid) AS rid, round(0.85 * coalesce(fs, 0) + 0.15 * coalesce(similarity, 0), 5) AS score FROM g FULL JOIN near ON g.rid = near.rid ORDER BY score DESC, rid LIMIT 20""",
+    SELECT coalesce(g.rid, near.rid) AS rid, round(0.85 * coalesce(fs, 0) + 0.15 * coalesce(similarity, 0), 8) AS score FROM g FULL JOIN near ON g.rid = near.rid ORDER BY score DESC, rid LIMIT 20""",
 )
 def ret03(spark, d):
     """Full-text and vector hits, three times as many as wanted of each, by a convex combination of their scores."""
     f = _fts(spark, d).select("rid", F.round("rank", 5).alias("rank")).orderBy(F.desc("rank"), "rid").limit(60)
-    return retrieval.fuse(f, _near(spark, d, 60), retrieval.ALPHA["hybrid"]).select("rid", F.round("score", 5).alias("score")).orderBy(F.desc("score"), "rid").limit(20)
+    return retrieval.fuse(f, _near(spark, d, 60), retrieval.ALPHA["hybrid"]).select("rid", F.round("score", 8).alias("score")).orderBy(F.desc("score"), "rid").limit(20)
 
 
 @query(
