@@ -98,14 +98,9 @@ def _encode(text, bpe, inside, known) -> np.ndarray:
     if not text:
         return np.empty(0, dtype=np.int32)
     raw = text.encode("utf-8", errors="replace")
-    if text.isascii():
-        cuts = ()  # nearly every pair of ASCII bytes lies inside some token: fragments would be whole texts
-    else:
-        cuts = forced_cuts(raw, inside)
-    if len(cuts) == 0:
-        return np.asarray(bpe.encode_ordinary(text), dtype=np.int32)
-    parts, start = [], 0
-    for end in (*cuts.tolist(), len(raw)):
+    parts: list[int] = []
+    start = 0
+    for end in (*forced_cuts(raw, inside).tolist(), len(raw)):
         piece = raw[start:end]
         start = end
         ids = known.get(piece)

@@ -54,7 +54,7 @@ def test_glued_sentences():
 
 
 def test_positions_and_blank_texts():
-    text = " 　A b.  C d.\t\n"
+    text = " \u3000Ab cd.  Ef gh.\t\n"
     assert [(a, b) for a, b in S.units(text, MODEL)] == [(2, 8), (10, 16)]
     assert S.units(None, MODEL) == S.units("", MODEL) == S.units(" \n\t\n", MODEL) == []
     assert S.units("x" * 100_000, MODEL) == [(0, 100_000)]
