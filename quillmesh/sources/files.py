@@ -36,6 +36,7 @@ def _reference(kind: str, path: Column, head: Column) -> Column:
         ref = F.concat(group(1), F.lit("/"), group(2))
     else:
         ref = group(1)
+    ref = F.when(path.rlike(pattern), ref)
     return F.coalesce(T.front_fields(head)[field], ref) if field else ref
 
 
@@ -47,7 +48,7 @@ def markdown_bundles(spark: SparkSession, folder: str, kind: str, prefix: str) -
     glob = MARKDOWN_KINDS[kind][0]
     parts = T.front_matter(F.col("text"))
     rows = text_files(spark, folder, glob).select("path", F.sha2("text", 256).alias("hash"), parts["head"].alias("head"), parts["body"].alias("body"))
-    rows = rows.withColumn("reference", F.url_decode(_reference(kind, F.col("path"), F.col("head")))).where("reference <> ''")
+    rows = rows.withColumn("reference", _reference(kind, F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), F.col("head"))).where("reference <> ''")
     fields = T.front_fields(F.coalesce("head", F.lit("")))
     return rows.select(
         make(F.lit(prefix + kind), F.col("reference")).alias("rid"), F.lit(prefix + kind).alias("namespace"), "reference", fields.alias("frontmatter"), "body",

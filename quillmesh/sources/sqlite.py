@@ -67,7 +67,7 @@ class SqliteStream(SimpleDataSourceStreamReader):
         stop = min(high, start["seen"] + int(self.options.get("batch", "1000")))
         if stop <= start["seen"]:
             return iter([]), start
-        return _rows(self.options, self.names, start["seen"], stop), {"seen": stop}
+        return iter(list(_rows(self.options, self.names, start["seen"], stop))), {"seen": stop}  # at most one batch
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         return _rows(self.options, self.names, start["seen"], end["seen"])
