@@ -109,7 +109,8 @@ def rerank(hits: DataFrame, scorer, passage: Column, most: int = 20) -> DataFram
 
 def rerank_chunked(hits: DataFrame, scorer, chunks: Column, most: int = 20) -> DataFrame:
     """Each text's score is that of its best sampled chunk."""
-    scored = hits.select("rid", F.explode(sample_chunks(chunks)).alias("passage")).select("rid", scorer(F.col("passage")).alias("s"))
+    cut = hits.select("rid", chunks.alias("_chunks"))  # by itself, as the chunker is an Arrow function
+    scored = cut.select("rid", F.explode(sample_chunks(F.col("_chunks"))).alias("passage")).select("rid", scorer(F.col("passage")).alias("s"))
     return scored.groupBy("rid").agg(F.round(F.max("s"), 6).alias("rerank_score")).orderBy(F.desc("rerank_score"), "rid").limit(most)
 
 
