@@ -122,7 +122,7 @@ def ent05(spark, d):
     return links.join(F.broadcast(one), "rid").join(table(spark, d, "entities").select("entity_id", "name"), "entity_id").select("entity_id", "name", "confidence")
 
 
-NAME = "rail signals institute"
+NAME = "rail signals"
 _G = r"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 _SIM = f"g AS (SELECT *, {_G.format('name_normalized')} AS g, {_G.format(repr(NAME))} AS h FROM entities), sim AS (SELECT *, round(len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))), 6) AS similarity FROM g), seed AS (SELECT * FROM sim WHERE similarity >= 0.3)"
 
