@@ -29,7 +29,7 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, round
     out = e.groupBy("src").agg(F.sum("w").alias("total"))
     flow = durable(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
     nodes = flow.select(F.col("src").alias("node")).union(flow.select("dst")).distinct()
-    chosen = nodes.join(seeds.select("node").distinct(), "node", "left_semi").withColumn("seed", F.lit(True))
+    chosen = durable(nodes.join(seeds.select("node").distinct(), "node", "left_semi").withColumn("seed", F.lit(True)))
     n = chosen.count()
     if n == 0:
         return nodes.select("node", F.lit(0.0).alias("score")).limit(0)

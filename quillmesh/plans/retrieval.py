@@ -8,7 +8,7 @@ from quillmesh.functions import vectors as V
 from quillmesh.operators import entities, fulltext, graph, retrieval
 from quillmesh.plans.registry import query
 from quillmesh.plans.relational import current
-from quillmesh.runtime import table
+from quillmesh.runtime import durable, table
 
 QUERY = "partial mirror archive"
 PHRASE = '"left the" mirror or digest -gardener'
@@ -122,7 +122,7 @@ def ent05(spark, d):
     return links.join(F.broadcast(one), "rid").join(table(spark, d, "entities").select("entity_id", "name"), "entity_id").select("entity_id", "name", "confidence")
 
 
-NAME = "rail signals"
+NAME = "james"
 _G = r"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 _SIM = f"g AS (SELECT *, {_G.format('name_normalized')} AS g, {_G.format(repr(NAME))} AS h FROM entities), sim AS (SELECT *, round(len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))), 6) AS similarity FROM g), seed AS (SELECT * FROM sim WHERE similarity >= 0.3)"
 
@@ -183,7 +183,7 @@ def _ppr_sql(rounds: int) -> str:
 
 @query("grf03_personalised_pagerank", _ppr_sql(10))
 def grf03(spark, d):
-    e = nation_edges(spark, d)
+    e = durable(nation_edges(spark, d))
     seed = e.agg(F.min(F.least("src", "dst")).alias("node"))
     return graph.pagerank(e, seed, rounds=10, epsilon=0.0).select("node", F.round("score", 6).alias("score"))
 

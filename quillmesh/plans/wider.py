@@ -312,7 +312,7 @@ def ret05(spark, d):
 def ret07(spark, d):
     """Hybrid hits raised by the texts of the best entities of the query's graph; tested on small tables."""
     hits = ret03(spark, d).withColumn("pos", F.row_number().over(W.orderBy(F.desc("score"), "rid")))
-    named = entities.bundles_of_entity(table(spark, d, "entities"), table(spark, d, "bundle_entities"), current(spark, d, "namespace"), "rail signals")
+    named = entities.bundles_of_entity(table(spark, d, "entities"), table(spark, d, "bundle_entities"), current(spark, d, "namespace"), "james")
     by = named.groupBy("rid").agg(F.max(F.struct("similarity", "confidence")).alias("s")).withColumn("entity_pos", F.row_number().over(W.orderBy(F.desc("s"), "rid"))).select("rid", "entity_pos")
     return retrieval.with_entity_bonus(hits.select("rid", "pos", "score"), by).orderBy(F.desc("score"), "rid").limit(20)
 
@@ -340,9 +340,9 @@ def ent02(spark, d):
 def ent09(spark, d):
     """Similar entities, their texts and the entities that share texts, as sections of one table."""
     e, l = table(spark, d, "entities"), table(spark, d, "bundle_entities")
-    a = entities.search_entities(e, "rail signals", most=10).select(F.lit("similar").alias("section"), F.col("entity_id").cast("string").alias("key"), F.col("similarity").alias("score"))
-    b = entities.bundles_of_entity(e, l, current(spark, d, "namespace"), "rail signals", most=10).select(F.lit("bundle").alias("section"), F.col("rid").alias("key"), F.col("confidence").alias("score"))
-    c = entities.cooccurring(e, l, "rail signals", most=10).select(F.lit("shared").alias("section"), F.col("entity_id").cast("string").alias("key"), F.col("shared").cast("double").alias("score"))
+    a = entities.search_entities(e, "james", most=10).select(F.lit("similar").alias("section"), F.col("entity_id").cast("string").alias("key"), F.col("similarity").alias("score"))
+    b = entities.bundles_of_entity(e, l, current(spark, d, "namespace"), "james", most=10).select(F.lit("bundle").alias("section"), F.col("rid").alias("key"), F.col("confidence").alias("score"))
+    c = entities.cooccurring(e, l, "james", most=10).select(F.lit("shared").alias("section"), F.col("entity_id").cast("string").alias("key"), F.col("shared").cast("double").alias("score"))
     return a.unionByName(b).unionByName(c)
 
 
