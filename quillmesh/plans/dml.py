@@ -86,10 +86,10 @@ def snk10(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-@query("snk12_fill_json_field", "WITH {CUR} SELECT rid, coalesce(json_extract_string(CASE WHEN json_valid(contents) THEN contents END, '$._koi_tier'), 'unknown') AS tier FROM cur WHERE namespace LIKE '%-message'")
+@query("snk12_fill_json_field", "WITH {CUR} SELECT rid, coalesce(json_extract_string(CASE WHEN json_valid(contents) THEN contents END, '$.content_type'), 'unknown') AS kind FROM cur WHERE namespace LIKE '%-message'")
 def snk12(spark, d):
     m = latest(table(spark, d, "bundles").where(F.col("namespace").endswith("-message")), "rid", "updated_at", "rid", "contents")
-    return m.select("rid", F.coalesce(F.get_json_object("contents", "$._koi_tier"), F.lit("unknown")).alias("tier"))
+    return m.select("rid", F.coalesce(F.get_json_object("contents", "$.content_type"), F.lit("unknown")).alias("kind"))
 
 
 @query(

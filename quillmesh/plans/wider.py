@@ -128,9 +128,9 @@ def agg18(spark, d):
     return table(spark, d, "bundle_entities").select("rid", "entity_id").join(F.broadcast(best), "entity_id").groupBy("rid").agg(F.max("mention_count").alias("score"))
 
 
-@query("agg20_label_histogram", f"WITH {{CUR}} SELECT json_extract_string({_J}, '$._koi_tier') AS tier, count(*) AS n FROM cur WHERE namespace LIKE '%-message' GROUP BY 1")
+@query("agg20_label_histogram", f"WITH {{CUR}} SELECT json_extract_string({_J}, '$.content_type') AS kind, count(*) AS n FROM cur WHERE namespace LIKE '%-message' GROUP BY 1")
 def agg20(spark, d):
-    return kind_rows(spark, d, "-message", "contents").groupBy(F.get_json_object("contents", "$._koi_tier").alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+    return kind_rows(spark, d, "-message", "contents").groupBy(F.get_json_object("contents", "$.content_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("agg23_source_prefixes", "SELECT split_part(rid, ':', 2) AS prefix, count(*) AS links, count(DISTINCT entity_id) AS entities FROM bundle_entities GROUP BY 1")

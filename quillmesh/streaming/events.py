@@ -72,7 +72,11 @@ def breaker_step(state: str, failures: int, opened: float, at: float, ok: bool)
 
 
 def breaker(outcomes: DataFrame) -> DataFrame:
-    """State after each call outcome (service, at in seconds, ok); a stream keyed by service."""
+    """State after each call outcome (service, at in seconds, ok); a stream keyed by service.
+
+    A state machine needs its service's outcomes in order, so those of one micro-batch are sorted in memory; the rate
+    options of the source (files or rows per trigger) bound them.
+    """
 
     def step(key, batches, held):
         state, failures, opened = held.get if held.exists else ("closed", 0, 0.0)
