@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
+import sys
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +33,34 @@ def session(app: str = "quillmesh", cpus: str = "*", **conf: str) -> SparkSessio
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context, unless their Python finds it by itself.
+
+    A local worker finds it beside the working directory, on PYTHONPATH or among the installed packages; on a cluster
+    it is always sent.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_quillmesh_sent", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(home)
+    near = {os.path.abspath(p) for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if p} | {p for p in sys.path if p.endswith("-packages")}
+    sc._quillmesh_sent = True
+    if root in near and re.fullmatch(r"local(\[.*\])?", sc.master):
+        return
+    path = os.path.join(sc._temp_dir, "quillmesh.zip")  # the context's own folder, from which it serves its files
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, files in os.walk(home):
+            for f in files:
+                if f.endswith(".py"):
+                    whole = os.path.join(folder, f)
+                    out.write(whole, os.path.relpath(whole, root))
+    sc.addPyFile(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory; ``name.parquet`` may be a file or a folder of parts."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
