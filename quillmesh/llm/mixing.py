@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quillmesh.llm.tokens import token_counts
 from quillmesh.runtime import durable
@@ -134,8 +135,8 @@ def shares(drawn: DataFrame, targets: DataFrame) -> DataFrame:
     """Per listed source: wanted and actual share, tokens, copies and distinct documents."""
     goal = _clean_targets(targets)
     got = drawn.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"), F.sum(F.col("copies").cast("long")).alias("copies"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_repeats"))
-    whole = got.agg(F.sum("tokens").alias("all_tokens"))
+    whole = F.sum("tokens").over(W.partitionBy())  # over one row per listed source
     return (
-        goal.join(got, "source", "left").crossJoin(F.broadcast(whole))  # one row
+        goal.join(got, "source", "left").withColumn("all_tokens", whole)
         .select("source", "target_share", "max_repeats", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "copies", "documents", "most_repeats")], F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"))
     )
