@@ -105,6 +105,25 @@ def search(index: DataFrame, size: DataFrame, query: str, key: str = "rid") -> D
     return by_doc.where(match).select(key, "rank")
 
 
+def search_many(index: DataFrame, size: DataFrame, queries: DataFrame, most: int = 20, key: str = "rid") -> DataFrame:
+    """``(query_id, key, rank, pos)``: the best texts with all words of each of many queries (query_id, query), in one pass.
+
+    Queries and postings are joined on their words; a word's postings are summed per query and text on the map side,
+    and the best are found within salts before they are found within a query. Queries without words have no hits.
+    """
+    from pyspark.sql import Window as W
+
+    words = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("w")).where(F.size("w") > 0)
+    asked = words.select("query_id", F.size("w").alias("wanted"), F.explode("w").alias("lexeme"))
+    hits = index.select("lexeme", key, "tf", "size").join(asked.select("lexeme").distinct(), "lexeme", "left_semi")
+    df = hits.groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"))
+    scored = hits.join(df, "lexeme").crossJoin(F.broadcast(size)).select("lexeme", key, bm25(F.col("tf"), F.col("size"), F.col("df"), F.col("docs"), F.col("mean")).alias("s"))  # one row
+    found = asked.join(scored, "lexeme").groupBy("query_id", key).agg(F.sum("s").alias("rank"), F.count(F.lit(1)).alias("met"), F.first("wanted").alias("wanted")).where("met = wanted")
+    found = found.select("query_id", key, F.round("rank", 5).alias("rank"), F.pmod(F.xxhash64(key), F.lit(16)).alias("salt"))
+    part = found.withColumn("pos", F.row_number().over(W.partitionBy("query_id", "salt").orderBy(F.desc("rank"), key))).where(F.col("pos") <= most)
+    return part.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rank"), key))).where(F.col("pos") <= most).drop("salt")
+
+
 def headline(text: Column, words: list[str], most: int = 3, length: int = 20) -> Column:
     """Up to three fragments around the words, these between ``**``, joined by `` ... ``."""
 

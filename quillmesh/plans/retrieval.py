@@ -51,6 +51,25 @@ def ret01_matches(spark, d):
     return _fts(spark, d, PHRASE).select("rid")
 
 
+_TITLES = "json_extract_string(CASE WHEN json_valid(contents) THEN contents END, '$.title')"
+
+
+@query(
+    "ret01_batch_search",
+    rf"""WITH {{CUR}}, t AS (SELECT rid, {_TOK} AS w FROM cur WHERE search_text IS NOT NULL), p AS (SELECT rid, len(w) AS size, unnest(w) AS lexeme FROM t WHERE len(w) > 0), c AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM t WHERE len(w) > 0),
+    i AS (SELECT lexeme, rid, any_value(size) AS size, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT lexeme, count(*) AS df FROM i GROUP BY lexeme),
+    q AS (SELECT rid AS query_id, list_distinct(list_filter(regexp_split_to_array(lower({_TITLES}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')) AS w FROM cur WHERE namespace LIKE '%-plan' AND {_TITLES} IS NOT NULL),
+    a AS (SELECT query_id, len(w) AS wanted, unnest(w) AS lexeme FROM q), f AS (SELECT query_id, i.rid, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 5) AS rank FROM a JOIN i USING (lexeme) JOIN df USING (lexeme), c GROUP BY query_id, i.rid, wanted HAVING count(*) = wanted)
+    SELECT query_id, rid, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, rid) AS pos FROM f QUALIFY pos <= 20""",
+)
+def ret01_batch(spark, d):
+    """Every plan's title as a query over all texts, in one pass."""
+    b = current(spark, d, "namespace", "search_text", "contents")
+    queries = b.where(F.col("namespace").endswith("-plan")).select(F.col("rid").alias("query_id"), F.get_json_object("contents", "$.title").alias("query")).where("query is not null")
+    docs = b.select("rid", "search_text")
+    return fulltext.search_many(fulltext.postings(docs), fulltext.corpus_size(docs), queries).select("query_id", "rid", "pos")
+
+
 @query("ret01_postings", f"WITH {{CUR}}, t AS (SELECT rid, unnest({_TOK}) AS lexeme FROM cur WHERE search_text IS NOT NULL) SELECT lexeme, count(DISTINCT rid) AS df, count(*) AS tf FROM t GROUP BY lexeme")
 def ret01_postings(spark, d):
     docs = current(spark, d, "search_text").select("rid", "search_text")

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import re
-import shutil
 import sys
 import tempfile
 import uuid
@@ -87,11 +85,12 @@ def durable(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as a compressed table in the shared folder and read again; for wide rows of text, whose
-    columns are then read one by one. The folder is removed when the driver's process ends."""
+    columns are then read one by one. The folder is removed when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(shutil.rmtree, path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
