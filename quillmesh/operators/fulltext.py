@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import tokens
+from quillmesh.runtime import stored
 
 K1, B = 1.2, 0.75
 
@@ -50,17 +51,32 @@ def parse_query(text: str) -> WebQuery:
     return out
 
 
+def tokenised(docs: DataFrame, key: str = "rid", text: str = "search_text") -> DataFrame:
+    """``(key, words)`` of the texts, written once, so that several passes over a corpus cut it into words only once."""
+    return stored(docs.where(F.col(text).isNotNull()).select(key, tokens(F.col(text)).alias("words")))
+
+
+def _words(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(key, "words") if "words" in docs.columns else docs.where(F.col(text).isNotNull()).select(key, tokens(F.col(text)).alias("words"))
+
+
 def postings(docs: DataFrame, key: str = "rid", text: str = "search_text") -> DataFrame:
-    """``(lexeme, key, tf, positions, size)``; texts without words have none."""
-    words = docs.where(F.col(text).isNotNull()).select(key, tokens(F.col(text)).alias("_w"))
-    spread = words.select(key, F.size("_w").alias("size"), F.posexplode("_w").alias("_p", "lexeme"))
+    """``(lexeme, key, tf, positions, size)`` of texts or tokenised texts; texts without words have none."""
+    spread = _words(docs, key, text).select(key, F.size("words").alias("size"), F.posexplode("words").alias("_p", "lexeme"))
     return spread.groupBy("lexeme", key).agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("_p")).alias("positions"), F.first("size").alias("size"))
 
 
+def frequencies(docs: DataFrame, key: str = "rid", text: str = "search_text") -> DataFrame:
+    """``(lexeme, key, tf, size)``: postings without positions, which is all that ranking needs."""
+    spread = _words(docs, key, text).select(key, F.size("words").alias("size"), F.explode("words").alias("lexeme"))
+    return spread.groupBy("lexeme", key, "size").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def corpus_size(docs: DataFrame, text: str = "search_text") -> DataFrame:
     """One row: number of texts with words, mean number of words."""
-    n = F.size(tokens(F.col(text)))
-    return docs.where(F.col(text).isNotNull()).select(n.alias("n")).where("n > 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
+    n = F.size("words") if "words" in docs.columns else F.size(tokens(F.col(text)))
+    rows = docs if "words" in docs.columns else docs.where(F.col(text).isNotNull())
+    return rows.select(n.alias("n")).where("n > 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
 
 
 def bm25(tf: Column, size: Column, df: Column, docs: Column, mean: Column) -> Column:

@@ -25,7 +25,7 @@ _VEC = """q0 AS (SELECT c.embedding AS qv FROM chunk_embeddings c JOIN embedding
 
 
 def _fts(spark, d, text=QUERY):
-    docs = current(spark, d, "search_text").select("rid", "search_text")
+    docs = fulltext.tokenised(current(spark, d, "search_text").select("rid", "search_text"))
     return fulltext.search(fulltext.postings(docs), fulltext.corpus_size(docs), text)
 
 
@@ -66,14 +66,14 @@ def ret01_batch(spark, d):
     """Every plan's title as a query over all texts, in one pass."""
     b = current(spark, d, "namespace", "search_text", "contents")
     queries = b.where(F.col("namespace").endswith("-plan")).select(F.col("rid").alias("query_id"), F.get_json_object("contents", "$.title").alias("query")).where("query is not null")
-    docs = b.select("rid", "search_text")
-    return fulltext.search_many(fulltext.postings(docs), fulltext.corpus_size(docs), queries).select("query_id", "rid", "pos")
+    docs = fulltext.tokenised(b.select("rid", "search_text"))
+    return fulltext.search_many(fulltext.frequencies(docs), fulltext.corpus_size(docs), queries).select("query_id", "rid", "pos")
 
 
 @query("ret01_postings", f"WITH {{CUR}}, t AS (SELECT rid, unnest({_TOK}) AS lexeme FROM cur WHERE search_text IS NOT NULL) SELECT lexeme, count(DISTINCT rid) AS df, count(*) AS tf FROM t GROUP BY lexeme")
 def ret01_postings(spark, d):
     docs = current(spark, d, "search_text").select("rid", "search_text")
-    return fulltext.postings(docs).groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    return fulltext.frequencies(docs).groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
 @query("str26_headline")
