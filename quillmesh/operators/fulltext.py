@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quillmesh.functions.text import tokens
 from quillmesh.runtime import stored
@@ -124,17 +125,21 @@ def search(index: DataFrame, size: DataFrame, query: str, key: str = "rid") -> D
 def search_many(index: DataFrame, size: DataFrame, queries: DataFrame, most: int = 20, key: str = "rid") -> DataFrame:
     """``(query_id, key, rank, pos)``: the best texts with all words of each of many queries (query_id, query), in one pass.
 
-    Queries and postings are joined on their words; a word's postings are summed per query and text on the map side,
-    and the best are found within salts before they are found within a query. Queries without words have no hits.
+    Only the postings of a query's rarest word make candidates; the other words are looked up for these. The best are
+    found within salts before they are found within a query. Queries without words, or with an unknown one, have no hits.
     """
-    from pyspark.sql import Window as W
-
     words = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("w")).where(F.size("w") > 0)
     asked = words.select("query_id", F.size("w").alias("wanted"), F.explode("w").alias("lexeme"))
     hits = index.select("lexeme", key, "tf", "size").join(asked.select("lexeme").distinct(), "lexeme", "left_semi")
     df = hits.groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"))
     scored = hits.join(df, "lexeme").crossJoin(F.broadcast(size)).select("lexeme", key, bm25(F.col("tf"), F.col("size"), F.col("df"), F.col("docs"), F.col("mean")).alias("s"))  # one row
-    found = asked.join(scored, "lexeme").groupBy("query_id", key).agg(F.sum("s").alias("rank"), F.count(F.lit(1)).alias("met"), F.first("wanted").alias("wanted")).where("met = wanted")
+    plan = asked.join(df, "lexeme").groupBy("query_id", "wanted").agg(F.array_sort(F.collect_list(F.struct("df", "lexeme"))).alias("by"))  # as many words as a query has
+    plan = plan.where(F.size("by") == F.col("wanted")).select("query_id", F.transform("by", lambda x: x["lexeme"]).alias("by"))
+    first = plan.select("query_id", "by", F.col("by")[0].alias("lexeme")).join(scored, "lexeme")
+    alone = first.where(F.size("by") == 1).select("query_id", key, F.col("s").alias("rank"))
+    more = first.where(F.size("by") > 1).select("query_id", key, F.col("s").alias("lead"), F.size("by").alias("n"), F.explode(F.slice("by", 2, F.size("by"))).alias("lexeme"))
+    rest = more.join(scored, ["lexeme", key]).groupBy("query_id", key, "lead", "n").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("met")).where("met = n - 1")
+    found = alone.unionByName(rest.select("query_id", key, (F.col("lead") + F.col("s")).alias("rank")))
     found = found.select("query_id", key, F.round("rank", 5).alias("rank"), F.pmod(F.xxhash64(key), F.lit(16)).alias("salt"))
     part = found.withColumn("pos", F.row_number().over(W.partitionBy("query_id", "salt").orderBy(F.desc("rank"), key))).where(F.col("pos") <= most)
     return part.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rank"), key))).where(F.col("pos") <= most).drop("salt")

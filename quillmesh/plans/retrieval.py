@@ -8,7 +8,7 @@ from quillmesh.functions import vectors as V
 from quillmesh.operators import entities, fulltext, graph, retrieval
 from quillmesh.plans.registry import query
 from quillmesh.plans.relational import current
-from quillmesh.runtime import durable, table
+from quillmesh.runtime import durable, stored, table
 
 QUERY = "partial mirror archive"
 PHRASE = '"left the" mirror or digest -gardener'
@@ -67,7 +67,7 @@ def ret01_batch(spark, d):
     b = current(spark, d, "namespace", "search_text", "contents")
     queries = b.where(F.col("namespace").endswith("-plan")).select(F.col("rid").alias("query_id"), F.get_json_object("contents", "$.title").alias("query")).where("query is not null")
     docs = fulltext.tokenised(b.select("rid", "search_text"))
-    return fulltext.search_many(fulltext.frequencies(docs), fulltext.corpus_size(docs), queries).select("query_id", "rid", "pos")
+    return fulltext.search_many(stored(fulltext.frequencies(docs)), fulltext.corpus_size(docs), queries).select("query_id", "rid", "pos")
 
 
 @query("ret01_postings", f"WITH {{CUR}}, t AS (SELECT rid, unnest({_TOK}) AS lexeme FROM cur WHERE search_text IS NOT NULL) SELECT lexeme, count(DISTINCT rid) AS df, count(*) AS tf FROM t GROUP BY lexeme")

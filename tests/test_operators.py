@@ -185,3 +185,13 @@ def test_quantiles_alpha_and_extraction(spark):
     assert s == {"a": (0.5, 1.0, 0.666667), "b": (0.0, 1.0, 0.0), "c": (0.0, 0.0, 0.0)}
     r = spark.createDataFrame([("base", 1, 0.5), ("new", 2, 0.75)], "label string, at int, ndcg double")
     assert {x.label: x.d_ndcg for x in evaluation.against_first(r, "label", "at", ("ndcg",)).collect()} == {"base": 0.0, "new": 0.25}
+
+
+def test_many_queries(spark):
+    docs = spark.createDataFrame(DOCS, "rid string, search_text string")
+    words = fulltext.tokenised(docs)
+    q = spark.createDataFrame([("1", "quick brown"), ("2", "lazy"), ("3", "quick missing"), ("4", None), ("5", "The THE the")], "query_id string, query string")
+    got = fulltext.search_many(fulltext.frequencies(words), fulltext.corpus_size(words), q).collect()
+    assert {(r.query_id, r.rid) for r in got} == {("1", "a"), ("1", "b"), ("2", "c"), ("5", "a"), ("5", "b")}
+    one = {r.rid: round(r["rank"], 5) for r in fulltext.search(fulltext.postings(words), fulltext.corpus_size(words), "quick brown").collect()}
+    assert {r.rid: r["rank"] for r in got if r.query_id == "1"} == one
