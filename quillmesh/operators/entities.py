@@ -12,7 +12,7 @@ from quillmesh.operators.retrieval import EXTRACTORS
 PATTERNS = (
     ("Date", "temporal", 1.0, r"\b(\d{4}[-/]\d{2}[-/]\d{2})\b"),
     ("URL", "artifact", 1.0, r"""(https?://[^\s<>"')\]]+)"""),
-    ("Path", "artifact", 0.9, r"(?m)(?:^|[\s(])((?:/[\w._-]+){2,}(?:/[\w._-]*)?)(?=\s|[),;:]|$)"),
+    ("Path", "artifact", 0.9, r"(?m)(?:^|[\s(])((?:/[\w._-]+){2,}(?:/[\w._-]*)?)(?:\s|[),;:]|$)"),
     ("RID", "artifact", 1.0, r"\b(orn:[\w.-]+:[\w./_-]+)\b"),
     ("Version", "artifact", 0.95, r"\bv?(\d+\.\d+\.\d+(?:[-+][\w.]+)?)\b"),
 )

@@ -25,12 +25,12 @@ def _l(path: str) -> str:
     return f"coalesce(array_to_string(CAST(json_extract(j, '$.{path}') AS VARCHAR[]), ' '), '')"
 
 
-_KINDS = ("journal", "research", "plan", "task", "recording", "code", "message", "browser-history", "youtube")
+_CHAT = "nullif(array_to_string(list_filter(list_transform(range(coalesce(json_array_length(json_extract(j, '$.chat_messages')), 0)::BIGINT), lambda i: json_extract_string(j, '$.chat_messages[' || i || '].text')), lambda t: coalesce(t, '') <> ''), chr(10)), '')"
 
 
 @query(
     "prj01_search_text",
-    f"""WITH {{CUR}}, k AS (SELECT rid, regexp_replace(namespace, '^[^-]*-', '') AS kind, {_J} AS j FROM cur)
+    f"""WITH {{CUR}}, k AS (SELECT rid, contents, regexp_replace(namespace, '^[^-]*-', '') AS kind, {_J} AS j FROM cur)
     SELECT rid, md5(CASE kind WHEN 'journal' THEN {_f('frontmatter.title')} || ' ' || {_f('body')}
       WHEN 'research' THEN {_f('frontmatter.title')} || ' ' || {_l('frontmatter.tags')} || ' ' || {_f('frontmatter.prompted_by')} || ' ' || {_f('body')}
       WHEN 'plan' THEN {_f('title')} || ' ' || {_f('goal')} || ' ' || {_f('body')}
@@ -39,27 +39,44 @@ _KINDS = ("journal", "research", "plan", "task", "recording", "code", "message",
       WHEN 'code' THEN concat_ws(chr(10), nullif({_f('cwd')}, ''), nullif({_f('summary')}, ''))
       WHEN 'message' THEN {_f('content')}
       WHEN 'youtube' THEN concat_ws(chr(10), nullif({_f('title')}, ''), nullif({_f('channel_handle')}, ''), nullif({_l('tags')}, ''), nullif(substr({_f('description')}, 1, 1000), ''))
-      ELSE {_f('title')} || ' ' || {_f('domain')} || ' ' || {_f('url')} || ' ' || {_l('tags')} || ' ' || {_f('folder_path')} || ' ' || {_f('type')} END) AS digest
-    FROM k WHERE kind IN {_KINDS} AND j IS NOT NULL""",
+      WHEN 'web.conversation' THEN concat_ws(chr(10), nullif({_f('name')}, ''), nullif({_f('summary')}, ''), {_CHAT})
+      WHEN 'browser-history' THEN {_f('title')} || ' ' || {_f('domain')} || ' ' || {_f('url')} || ' ' || {_l('tags')} || ' ' || {_f('folder_path')} || ' ' || {_f('type')}
+      ELSE contents END) AS digest
+    FROM k WHERE j IS NOT NULL""",
 )
 def prj01(spark, d):
-    c = current(spark, d, "namespace", "contents").where(B.kind().isin(*_KINDS) & F.get_json_object("contents", "$").isNotNull())
+    """The search text of every row whose contents parse."""
+    c = current(spark, d, "namespace", "contents").where(F.get_json_object("contents", "$").isNotNull())
     return c.select("rid", F.md5(B.search_text()).alias("digest"))
 
 
+def _line(lead: str, *parts: tuple[str, str]) -> str:
+    texts = ", ".join(f"'{label}: ' || nullif({value}, '')" for label, value in parts)
+    return f"CASE WHEN {lead} = '' THEN '' ELSE concat_ws('. ', {texts}) || '.' END"
+
+
+_TITLE, _FRONT = _f("title"), _f("frontmatter.title")
+_NAMED = f"coalesce(nullif({_TITLE}, ''), {_f('filename')})"
+
+
 @query(
     "prj02_preamble",
     f"""WITH {{CUR}}, k AS (SELECT rid, namespace, regexp_replace(namespace, '^[^-]*-', '') AS kind, {_J} AS j FROM cur)
     SELECT rid, CASE kind
-      WHEN 'journal' THEN CASE WHEN {_f('frontmatter.title')} = '' THEN '' ELSE concat_ws('. ', 'Journal: ' || {_f('frontmatter.title')}, 'Date: ' || nullif({_f('frontmatter.created')}, '')) || '.' END
-      WHEN 'plan' THEN CASE WHEN {_f('title')} = '' THEN '' ELSE 'Plan: ' || {_f('title')} || '. Type: ' || coalesce(nullif({_f('plan_type')}, ''), 'auto') || '.' END
-      WHEN 'task' THEN CASE WHEN {_f('frontmatter.title')} = '' THEN '' ELSE concat_ws('. ', 'Task: ' || {_f('frontmatter.title')}, 'Status: ' || nullif({_f('frontmatter.status')}, '')) || '.' END
+      WHEN 'journal' THEN {_line(_FRONT, ('Journal', _FRONT), ('Date', _f('frontmatter.created')))}
+      WHEN 'recording' THEN {_line(_NAMED, ('Recording', _NAMED), ('Source', _f('source')), ('Date', _f('date_recorded')))}
+      WHEN 'web.conversation' THEN {_line(_f('name'), ('Conversation', _f('name')))}
+      WHEN 'code' THEN {_line(_f('cwd'), ('Code session', _f('cwd')), ('Date', _f('date')))}
+      WHEN 'message' THEN {_line(_f('chat_title'), ('Message', _f('chat_title')))}
+      WHEN 'research' THEN {_line(_FRONT, ('Research', _FRONT), ('Date', _f('frontmatter.created')), ('Status', _f('frontmatter.status')))}
+      WHEN 'youtube' THEN {_line(_TITLE, ('YouTube', _TITLE), ('Channel', _f('channel_handle')), ('Date', _f('upload_date')))}
+      WHEN 'plan' THEN CASE WHEN {_TITLE} = '' THEN '' ELSE 'Plan: ' || {_TITLE} || '. Type: ' || coalesce(nullif({_f('plan_type')}, ''), 'auto') || '.' END
+      WHEN 'task' THEN {_line(_FRONT, ('Task', _FRONT), ('Status', _f('frontmatter.status')))}
       ELSE 'Document from ' || namespace || '.' END AS preamble
-    FROM k WHERE kind IN ('journal', 'plan', 'task', 'browser-history', 'transcript')""",
+    FROM k""",
 )
 def prj02(spark, d):
-    c = current(spark, d, "namespace", "contents").where(B.kind().isin("journal", "plan", "task", "browser-history", "transcript"))
-    return c.select("rid", B.preamble().alias("preamble"))
+    return current(spark, d, "namespace", "contents").select("rid", B.preamble().alias("preamble"))
 
 
 @query("prj03_with_preamble", "SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN chunk_text ELSE 'Chunk.' || chr(10) || '---' || chr(10) || chunk_text END AS embedded FROM chunk_embeddings")
@@ -79,9 +96,9 @@ def prj06(spark, d):
     return current(spark, d, "namespace", "sha256_hash").join(F.broadcast(first), "rid").select("rid", "namespace", "sha256_hash")
 
 
-@query("str04_normalised_names", r"SELECT entity_id, lower(trim(regexp_replace(name, '\s+', ' ', 'g'))) AS name FROM entities WHERE regexp_full_match(name, '[\x00-\x7f]*')")
+@query("str04_normalised_names", r"SELECT entity_id, lower(trim(regexp_replace(nfc_normalize(name), '\s+', ' ', 'g'))) AS name FROM entities")
 def str04(spark, d):
-    return table(spark, d, "entities").where(F.col("name").rlike(r"^[\x00-\x7f]*$")).select("entity_id", T.normalise_name(F.col("name")).alias("name"))
+    return table(spark, d, "entities").select("entity_id", T.normalise_name(T.nfkc(F.col("name"))).alias("name"))
 
 
 @query(
@@ -109,9 +126,9 @@ def str10(spark, d):
     return c.select("reference", T.plan_kind(F.col("reference"))["kind"].alias("kind"))
 
 
-@query("str11_first_heading", r"SELECT doc_id, nullif(regexp_extract(text, '(?m)^[ ]*# (.+)$', 1), '') AS heading FROM documents WHERE starts_with(text, '# ') AND NOT contains(text, chr(13))")
+@query("str11_first_heading", r"SELECT doc_id, list_filter(list_transform(list_slice(string_split(text, chr(10)), 1, 50), lambda l: regexp_extract(trim(regexp_replace(l, '\r$', '')), '^# (.+)$', 1)), lambda h: h <> '')[1] AS heading FROM documents")
 def str11(spark, d):
-    return table(spark, d, "documents").where(F.col("text").startswith("# ") & ~F.contains("text", F.lit("\r"))).select("doc_id", T.first_heading(F.col("text")).alias("heading"))
+    return table(spark, d, "documents").select("doc_id", T.first_heading(F.col("text")).alias("heading"))
 
 
 @query(
@@ -125,13 +142,16 @@ def str13(spark, d):
 
 @query(
     "str16_pattern_entities",
-    r"""SELECT doc_id, 'Date' AS entity_type, unnest(list_distinct(regexp_extract_all(text, '\b(\d{4}[-/]\d{2}[-/]\d{2})\b', 1))) AS name FROM documents WHERE text IS NOT NULL
-    UNION ALL SELECT doc_id, 'URL', unnest(list_distinct(list_transform(regexp_extract_all(text, '(https?://[^\s<>"'')\]]+)', 1), lambda x: regexp_replace(x, '[.,;:)]+$', '')))) FROM documents WHERE text IS NOT NULL
-    UNION ALL SELECT doc_id, 'Version', unnest(list_distinct(regexp_extract_all(text, '\bv?(\d+\.\d+\.\d+(?:[-+][\w.]+)?)\b', 1))) FROM documents WHERE text IS NOT NULL""",
+    r"""WITH t AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, 'Date' AS entity_type, unnest(list_distinct(regexp_extract_all(text, '\b(\d{4}[-/]\d{2}[-/]\d{2})\b', 1))) AS name FROM t
+    UNION ALL SELECT doc_id, 'URL', unnest(list_distinct(list_transform(regexp_extract_all(text, '(https?://[^\s<>"'')\]]+)', 1), lambda x: regexp_replace(x, '[.,;:)]+$', '')))) FROM t
+    UNION ALL SELECT doc_id, 'Path', unnest(list_distinct(list_filter(list_transform(regexp_extract_all(text, '(?m)(?:^|[\s(])((?:/[\w._-]+){2,}(?:/[\w._-]*)?)(?:\s|[),;:]|$)', 1), lambda x: regexp_replace(x, '[.,;:)]+$', '')), lambda x: length(x) > 3))) FROM t
+    UNION ALL SELECT doc_id, 'RID', unnest(list_distinct(regexp_extract_all(text, '\b(orn:[\w.-]+:[\w./_-]+)\b', 1))) FROM t
+    UNION ALL SELECT doc_id, 'Version', unnest(list_distinct(regexp_extract_all(text, '\bv?(\d+\.\d+\.\d+(?:[-+][\w.]+)?)\b', 1))) FROM t""",
 )
 def str16(spark, d):
-    """Distinct pattern entities per document; paths and ids don't occur here and are tested on small texts."""
-    return entities.extract(table(spark, d, "documents").where("text is not null"), "doc_id", "text").where(F.col("entity_type").isin("Date", "URL", "Version")).select("doc_id", "entity_type", "name")
+    """Distinct entities by pattern of every document."""
+    return entities.extract(table(spark, d, "documents").where("text is not null"), "doc_id", "text").select("doc_id", "entity_type", "name")
 
 
 @query(

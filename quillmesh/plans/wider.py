@@ -11,7 +11,8 @@ from quillmesh.functions import text as T
 from quillmesh.functions import urls as U
 from quillmesh.functions import vectors as V
 from quillmesh.operators import entities, graph, ingest, retrieval
-from quillmesh.plans.registry import query
+from quillmesh.plans import textual  # noqa: F401  (its SQL is used below)
+from quillmesh.plans.registry import ORACLE, query
 from quillmesh.plans.relational import current
 from quillmesh.plans.retrieval import QUERY, nation_edges, NATION_EDGES, ret03
 from quillmesh.runtime import latest, table
@@ -183,10 +184,10 @@ def top05(spark, d):
     return table(spark, d, "entities").orderBy(F.desc("mention_count"), F.desc("last_seen"), "entity_id").limit(30).select("entity_id")
 
 
-@query("top08_sampled_chunks", "WITH c AS (SELECT rid, list(vec_id ORDER BY vec_id) AS v FROM chunk_embeddings WHERE rid IS NOT NULL GROUP BY rid) SELECT rid, array_to_string(CASE WHEN len(v) <= 5 THEN v ELSE list_transform(list_distinct(list_transform(range(5), lambda i: CAST(floor(i * (len(v) - 1) / 4.0 + 0.5) AS BIGINT))), lambda i: v[i + 1]) END, ',') AS x, len(v) AS n FROM c WHERE len(v) <= 5")
+@query("top08_sampled_chunks", "WITH c AS (SELECT rid, list(vec_id ORDER BY vec_id) AS v FROM chunk_embeddings WHERE rid IS NOT NULL GROUP BY rid) SELECT rid, array_to_string(CASE WHEN len(v) <= 5 THEN v ELSE list_transform(list_sort(list_distinct(list_transform(range(5), lambda i: CAST(floor(i * (len(v) - 1) / 4.0 + 0.5) AS BIGINT)))), lambda i: v[i + 1]) END, ',') AS x, len(v) AS n FROM c")
 def top08(spark, d):
-    """First, last and evenly spaced chunks of a text; the few texts with more chunks are tested on small tables."""
-    c = table(spark, d, "chunk_embeddings").where("rid is not null").groupBy("rid").agg(F.array_sort(F.collect_list("vec_id")).alias("v")).where(F.size("v") <= 5)
+    """First, last and evenly spaced chunks of each text."""
+    c = table(spark, d, "chunk_embeddings").where("rid is not null").groupBy("rid").agg(F.array_sort(F.collect_list("vec_id")).alias("v"))
     return c.select("rid", F.array_join(retrieval.sample_chunks(F.col("v")), ",").alias("x"), F.size("v").cast("long").alias("n"))
 
 
@@ -208,10 +209,9 @@ def str08(spark, d):
     return kind_rows(spark, d, "-recording", "contents").select("rid", T.strip_time_marks(B.field("transcript_text")).alias("transcript"))
 
 
-@query("str09_front_matter", "SELECT doc_id, starts_with(trim(text), '---') AS has_head FROM documents WHERE text IS NOT NULL AND NOT contains(text, '---')")
+@query("str09_front_matter", "SELECT doc_id, starts_with(trim(text), '---') AND len(string_split(text, '---')) >= 3 AS has_head FROM documents WHERE text IS NOT NULL")
 def str09(spark, d):
-    t = table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.contains("text", F.lit("---")))
-    return t.select("doc_id", T.front_matter(F.col("text"))["head"].isNotNull().alias("has_head"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", T.front_matter(F.col("text"))["head"].isNotNull().alias("has_head"))
 
 
 @query("str15_search_terms", r"SELECT id, array_to_string(list_filter(regexp_extract_all(lower(title), '\b([a-z][\w-]*)\b', 1), lambda w: length(w) > 1 AND w NOT IN ('what','how','why','when','where','who','is','are','was','were','do','does','did','the','a','an','in','on','at','to','for','of','with','by','from','about','i','my','me','know','tell','show','find','get','related','all')), ' ') AS terms FROM threads WHERE title IS NOT NULL")
@@ -300,12 +300,11 @@ def jsn02(spark, d):
     return current(spark, d, "namespace").select("rid", F.get_json_object(F.to_json(F.struct("rid", "namespace")), "$.namespace").alias("ns"))
 
 
-@query("ret05_routed_queries", r"SELECT id, CASE WHEN trim(coalesce(title, '')) = '' THEN 0.85 WHEN len(regexp_split_to_array(trim(title), '\s+')) <= 2 THEN 1.0 WHEN len(regexp_split_to_array(trim(title), '\s+')) > 6 THEN 0.5 ELSE 0.85 END AS alpha FROM threads WHERE NOT regexp_matches(coalesce(title, ''), '(?i)\b(yesterday|today|last|this|recent|lately|since|how|what|why|when|where|who|which|explain|describe|tell)\b|202\d|[\x22\x27]')")
+@query("ret05_routed_queries", f"WITH r AS ({ORACLE['str17_routes']}) SELECT id, CASE route WHEN 'conceptual' THEN 0.5 WHEN 'hybrid' THEN 0.85 ELSE 1.0 END AS alpha FROM r")
 def ret05(spark, d):
     """The weight of the full-text score by each query's route."""
-    plain = ~F.coalesce("title", F.lit("")).rlike(r"(?i)\b(yesterday|today|last|this|recent|lately|since|how|what|why|when|where|who|which|explain|describe|tell)\b|202\d|[\x22\x27]")
     weights = F.create_map(*[F.lit(x) for kv in retrieval.ALPHA.items() for x in kv])
-    return table(spark, d, "threads").where(plain).select("id", weights[T.route(F.col("title"))].alias("alpha"))
+    return table(spark, d, "threads").select("id", weights[T.route(F.col("title"))].alias("alpha"))
 
 
 @query("ret07_entity_search")
@@ -323,16 +322,24 @@ def ret09(spark, d):
     return retrieval.rerank_chunked(hits, retrieval.RERANKERS.create("overlap", QUERY), T.chunks(F.col("search_text")), 10)
 
 
-@query("ent01_extraction_pipeline", r"WITH {CUR} SELECT rid, count(DISTINCT regexp_replace(u, '[.,;:)]+$', '')) AS urls FROM (SELECT rid, unnest(regexp_extract_all(search_text, '(https?://[^\s<>\x22\x27)\]]+)', 1)) AS u FROM cur WHERE namespace NOT LIKE '%-transcript') GROUP BY rid")
+@query("ent01_extraction_pipeline", r"WITH {CUR} SELECT rid, count(DISTINCT regexp_replace(u, '[.,;:)]+$', '')) AS urls FROM (SELECT rid, unnest(regexp_extract_all(search_text, '(https?://[^\s<>\x22\x27)\]]+)', 1)) AS u FROM cur) GROUP BY rid")
 def ent01(spark, d):
     """Extraction and merging over all texts, shown for addresses (which have no letter case here)."""
-    c = current(spark, d, "namespace", "search_text").where(~F.col("namespace").endswith("-transcript"))
+    c = current(spark, d, "search_text")
     return entities.merge(entities.extract(c)).where("entity_type = 'URL'").groupBy("rid").agg(F.count(F.lit(1)).alias("urls"))
 
 
-@query("ent02_types_of_namespaces", "WITH {CUR} SELECT c.namespace, count(*) AS allowed FROM bundle_entities l JOIN entities e USING (entity_id) JOIN cur c USING (rid) WHERE c.namespace LIKE '%-message' AND e.entity_type IN ('Person', 'Topic', 'Organization', 'Tool') GROUP BY 1")
+_TYPES = ", ".join(f"('{k}', '{t}')" for kinds, types in ontology.DOMAINS.values() for k in kinds for t in types)
+
+
+@query(
+    "ent02_types_of_namespaces",
+    f"""WITH {{CUR}}, o AS (SELECT * FROM (VALUES {_TYPES}) AS v(kind, entity_type)), l AS (SELECT c.namespace, regexp_replace(c.namespace, '^[^-]*-', '') AS kind, e.entity_type FROM bundle_entities b JOIN entities e USING (entity_id) JOIN cur c USING (rid))
+    SELECT namespace, count(*) AS allowed FROM l WHERE EXISTS (SELECT 1 FROM o WHERE o.entity_type = l.entity_type AND (o.kind = l.kind OR l.kind NOT IN (SELECT kind FROM o))) GROUP BY 1""",
+)
 def ent02(spark, d):
-    links = table(spark, d, "bundle_entities").join(table(spark, d, "entities").select("entity_id", "entity_type"), "entity_id").join(kind_rows(spark, d, "-message", "namespace").select("rid", "namespace"), "rid")
+    """Links whose entity has a type that belongs to the text's kind."""
+    links = table(spark, d, "bundle_entities").join(table(spark, d, "entities").select("entity_id", "entity_type"), "entity_id").join(current(spark, d, "namespace").select("rid", "namespace"), "rid")
     return links.where(ontology.allowed(B.kind(), F.col("entity_type"))).groupBy("namespace").agg(F.count(F.lit(1)).alias("allowed"))
 
 
