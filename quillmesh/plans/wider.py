@@ -172,11 +172,11 @@ def win08(spark, d):
     return kind_rows(spark, d, "-web.conversation", "contents").select("rid", F.posexplode(rows).alias("pos", "m")).select("rid", "pos", "m.sender")
 
 
-@query("win10_difference_to_first", "SELECT event_type, m, round(s - first_value(s) OVER (PARTITION BY event_type ORDER BY m), 4) AS change FROM (SELECT event_type, date_trunc('week', ts) AS m, round(avg(value), 4) AS s FROM events GROUP BY 1, 2)")
+@query("win10_difference_to_first", "SELECT event_type, m, round(s - first_value(s) OVER (PARTITION BY event_type ORDER BY m), 2) AS change FROM (SELECT event_type, date_trunc('week', ts) AS m, max(value) AS s FROM events GROUP BY 1, 2)")
 def win10(spark, d):
-    s = table(spark, d, "events").groupBy("event_type", F.date_trunc("week", "ts").alias("m")).agg(F.round(F.avg("value"), 4).alias("s"))
+    s = table(spark, d, "events").groupBy("event_type", F.date_trunc("week", "ts").alias("m")).agg(F.max("value").alias("s"))
     first = F.first("s").over(W.partitionBy("event_type").orderBy("m").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return s.select("event_type", F.col("m").cast("timestamp_ntz").alias("m"), F.round(F.col("s") - first, 4).alias("change"))
+    return s.select("event_type", F.col("m").cast("timestamp_ntz").alias("m"), F.round(F.col("s") - first, 2).alias("change"))
 
 
 @query("top05_two_keys", "SELECT entity_id FROM entities ORDER BY mention_count DESC, last_seen DESC, entity_id LIMIT 30")
