@@ -4,9 +4,9 @@
 2. Threads that are broken, empty or unanswered are dropped (see ``kept_threads``).
 3. Messages are put in order by a range partitioning on (thread, time, number) and numbered through the counts of the
    runs before them, so a thread that holds a third of all rows is spread over as many tasks as its size calls for.
-4. Interleaved talk is disentangled: each message's candidate parents are the ``CANDIDATES`` messages before it; links
-   are scored by time between the two, mention of the parent's sender and common words; the likeliest is taken if it
-   reaches ``LEAST_SCORE``. A reply_to is such a link with certainty. Links form trees by pointer jumping.
+4. Interleaved talk is disentangled: each message's candidate parents are all earlier messages of the thread that can
+   win; links are scored by time between the two, mention of the parent's sender and common words; the likeliest is
+   taken if it reaches ``LEAST_SCORE``. A reply_to is such a link with certainty. Links form trees by pointer jumping.
 
 Defined results: rows without a well-formed reference are no messages; null or blank content takes no turn and is
 neither parent nor child; a blank reply_to is none; messages with equal time and number are ordered by reference;
@@ -28,12 +28,14 @@ NAMESPACE = "-message"
 FIELDS = ("content", "content_type", "sender_id", "reply_to", "platform_ts")
 REFERENCE = r"(?s)^([^:]+):(.+):(\d+)$"
 SALTS = 16
-#: Messages before a message that may be its parent, and rows of a thread that one window works on.
-CANDIDATES = 6
+#: Rows of a thread that one window works on.
 STRETCH = 256
 LEAST_SCORE = 0.35
 #: Seconds in which the weight of time falls to a half.
 HALF_LIFE = 900.0
+#: Seconds within which all turns are scored, and the share of common words that a parent from before then has.
+HORIZON = 3600
+FAR_SHARE = (LEAST_SCORE - 0.1 - 0.5 * 0.5 ** (HORIZON / HALF_LIFE)) / 0.4
 
 
 def instant(raw: Column) -> Column:
@@ -104,30 +106,76 @@ def ordered(rows: DataFrame, kept: DataFrame) -> DataFrame:
     return placed.withColumn("part", part).join(runs, ["thread_id", "part"]).withColumn("turn_no", F.col("node") - F.col("first") + F.col("offset") + 1).drop("part", "first", "offset")
 
 
-def reply_links(turns: DataFrame) -> DataFrame:
-    """``(node, parent, score)`` of every message; parent is null where none is likely enough.
+def _speakers_before(rows: DataFrame) -> DataFrame:
+    """``(thread_id, node, turn_no)`` of the turn directly before each turn and of the last one by another sender.
 
-    The windows run over stretches of ``STRETCH`` turns, each with the last ``CANDIDATES`` turns of the one before.
+    Runs of one sender are found in stretches of ``STRETCH`` turns, each with the last turn of the one before; a run
+    that began in an earlier stretch is carried on from the stretches' latest beginnings.
     """
     place = F.col("turn_no") - 1
-    words = F.array_distinct(F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2))
-    who = F.regexp_extract(F.coalesce("sender_id", F.lit("")), "([^:@]+)$", 1)
-    rows = turns.select("thread_id", "node", "ts", "turn_no", "sender_id", who.alias("who"), words.alias("words"), F.lower("content").alias("said"))
     own = F.floor(place / STRETCH)
-    both = F.when(place % STRETCH >= STRETCH - CANDIDATES, F.array(own, own + 1)).otherwise(F.array(own))
-    rows = rows.withColumn("stretch", F.explode(both)).withColumn("lives", F.floor(place / STRETCH) == F.col("stretch"))
-    before = W.partitionBy("thread_id", "stretch").orderBy("turn_no").rowsBetween(-CANDIDATES, -1)
-    seen = rows.withColumn("before", F.collect_list(F.struct("node", "ts", "sender_id", "who", "words")).over(before)).where("lives")
-
-    def score(c: Column) -> Column:
-        time = F.pow(F.lit(0.5), (F.col("ts") - c["ts"]) / HALF_LIFE)
-        named = F.when((F.length(c["who"]) > 1) & F.contains(F.col("said"), F.concat(F.lit("@"), F.lower(c["who"]))), 1.0).otherwise(0.0)
-        common = F.size(F.array_intersect(F.col("words"), c["words"])) / F.greatest(F.lit(1), F.least(F.size("words"), F.size(c["words"])))
-        other = F.when(F.coalesce(c["sender_id"], F.lit("")) != F.coalesce(F.col("sender_id"), F.lit("")), 0.1).otherwise(0.0)
-        return 0.5 * time + 0.4 * common + 0.6 * named + other
-
-    scored = F.transform("before", lambda c: F.struct(score(c).alias("score"), c["node"].alias("parent")))
-    best = seen.select("node", F.array_max(scored).alias("best"))
+    both = F.when(place % STRETCH == STRETCH - 1, F.array(own, own + 1)).otherwise(F.array(own))
+    near = rows.select("thread_id", "node", "turn_no", "sender", F.explode(both).alias("stretch"), own.alias("own"))
+    turn = W.partitionBy("thread_id", "stretch").orderBy("turn_no")
+    begins = F.when(~F.col("sender").eqNullSafe(F.lag("sender").over(turn)), F.col("turn_no"))
+    near = near.withColumn("begins", begins).where(F.col("own") == F.col("stretch"))
+    near = near.withColumn("start", F.max("begins").over(turn.rowsBetween(W.unboundedPreceding, 0)))
+    earlier = W.partitionBy("thread_id").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
+    carried = near.groupBy("thread_id", "stretch").agg(F.max("begins").alias("begins")).select("thread_id", "stretch", F.max("begins").over(earlier).alias("carried"))
+    start = F.coalesce("start", "carried")
+    last = near.join(carried, ["thread_id", "stretch"]).select("thread_id", "node", F.explode(F.array_distinct(F.array(F.col("turn_no") - 1, start - 1))).alias("turn_no"))
+    return last.where("turn_no > 0")
+
+
+def reply_links(turns: DataFrame) -> DataFrame:
+    """``(node, parent, score)`` of every message; parent is null where none is likely enough.
+
+    Every earlier turn of the thread that can win is scored. One that shares no word and isn't mentioned is beaten by
+    the turn directly before or by the last one of another sender; mentioned senders' turns are all scored, as are all
+    turns within ``HORIZON``. Farther back time adds so little that a share ``FAR_SHARE`` of the smaller of two sets of
+    words must be common; then one of its rarest words is (as many as may be missing, and one), on which they are
+    joined. Of turns alike in sender and words only the last before a message can win.
+    """
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2)))
+    sender = F.coalesce("sender_id", F.lit(""))
+    said = F.when(F.contains(F.col("content"), F.lit("@")), F.lower("content"))
+    rows = turns.select("thread_id", "node", "ts", "turn_no", sender.alias("sender"), F.lower(F.regexp_extract(sender, "([^:@]+)$", 1)).alias("who"), words.alias("words"), said.alias("said"))
+    alike = W.partitionBy("thread_id", "sender", "words").orderBy("node")
+    rows = durable(rows.withColumn("next", F.lead("node").over(alike)))
+    asking = rows.select("thread_id", *(F.col(c).alias(f"q_{c}") for c in ("node", "ts", "turn_no", "sender", "words", "said")))
+    common = F.size(F.array_intersect("q_words", "words")) / F.greatest(F.lit(1), F.least(F.size("q_words"), F.size("words")))
+    base = 0.5 * F.pow(F.lit(0.5), (F.col("q_ts") - F.col("ts")) / HALF_LIFE) + 0.4 * common
+
+    def scored(pairs: DataFrame, named: float = 0.0) -> DataFrame:
+        other = F.when(F.col("q_sender") != F.col("sender"), 0.1).otherwise(0.0)
+        return pairs.select(F.col("q_node").alias("node"), (base + named + other).alias("score"), F.col("node").alias("parent"))
+
+    before = _speakers_before(rows).withColumnRenamed("node", "q_node").join(rows.select("thread_id", "turn_no", "node", "ts", "sender", "words"), ["thread_id", "turn_no"])
+    before = scored(before.join(asking.drop("thread_id"), "q_node"))
+    # all turns within the horizon, from a message's own stretch of time and the one before
+    slot = F.floor(F.col("q_ts") / HORIZON)
+    near = asking.drop("q_said").withColumn("slot", F.explode(F.array(slot, slot - 1)))
+    near = scored(near.join(rows.select("thread_id", "node", "ts", "sender", "words", "next", F.floor(F.col("ts") / HORIZON).alias("slot")), ["thread_id", "slot"]).where("node < q_node and (next is null or q_node <= next)"))
+    # all turns of the senders that a message mentions, joined on the two characters behind an @
+    behind = F.array_distinct(F.transform(F.filter(F.split("q_said", "@"), lambda x, i: (i > 0) & (F.length(x) > 1)), lambda x: F.substring(x, 1, 2)))
+    told = asking.where("q_said is not null").withColumn("begins", F.explode(behind))
+    people = rows.where(F.length("who") > 1).select("thread_id", "who", F.substring("who", 1, 2).alias("begins")).distinct()
+    told = told.join(people, ["thread_id", "begins"]).where(F.contains(F.col("q_said"), F.concat(F.lit("@"), F.col("who")))).drop("q_said", "begins").distinct()
+    named = scored(told.join(rows.select("thread_id", "who", "node", "ts", "sender", "words", "next"), ["thread_id", "who"]).where("node < q_node and (next is null or q_node <= next)"), 0.6)
+    # farther back: the rarest words of the smaller set against all words of the larger
+    held = rows.select("thread_id", "node", "ts", "next", F.size("words").alias("size"), F.explode("words").alias("word"))
+    met = held.groupBy("thread_id", "word").agg(F.count(F.lit(1)).alias("met"))
+    ranked = held.join(met, ["thread_id", "word"]).groupBy("thread_id", "node", "ts", "next", "size").agg(F.array_sort(F.collect_list(F.struct("met", "word"))).alias("ranked"))
+    least = (F.col("size") - F.ceil(F.col("size") * FAR_SHARE - 1e-9) + 1).cast("int")
+    rare = ranked.select("thread_id", *(F.col(c).alias(f"s_{c}") for c in ("node", "ts", "next", "size")), F.explode(F.slice("ranked.word", F.lit(1), least)).alias("word"))
+    later, earlier = F.greatest("s_node", "node"), F.least("s_node", "node")
+    until = F.when(F.col("s_node") < F.col("node"), F.col("s_next")).otherwise(F.col("next"))
+    far = rare.join(held, ["thread_id", "word"]).where((F.col("s_size") <= F.col("size")) & (F.abs(F.col("s_ts") - F.col("ts")) > HORIZON) & (until.isNull() | (later <= until)))
+    far = far.select(later.alias("q_node"), earlier.alias("node")).distinct()
+    far = scored(far.join(rows.select("node", "ts", "sender", "words"), "node").join(asking.drop("thread_id"), "q_node"))
+
+    best = before.unionByName(near).unionByName(named).unionByName(far).groupBy("node").agg(F.max(F.struct("score", "parent")).alias("best"))
+    best = rows.select("node").join(best, "node", "left")
     guess = best.select("node", F.when(F.col("best.score") >= LEAST_SCORE, F.col("best.parent")).alias("guess"), F.col("best.score").alias("score"))
     target = turns.select(F.col("thread_id"), F.col("reference").alias("reply_to"), F.col("node").alias("told"))
     told = turns.where(F.col("reply_to").isNotNull()).select("thread_id", "node", "reply_to").join(target, ["thread_id", "reply_to"]).where("told < node").select("node", "told")

@@ -1,4 +1,6 @@
 import json
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -68,6 +70,49 @@ def test_links_and_trees(spark):
     assert c.where("parent is null").count() == c.select("root").distinct().count()
 
 
+def every_pair(turns):
+    """The best parent of each turn among all earlier turns of its thread, by a plain program."""
+    words = [{w for w in re.split(r"[\W_]+", t.content.lower()) if len(w) > 2} for t in turns]
+    parents = {}
+    for i, q in enumerate(turns):
+        best = (0.0, -1)
+        for j, c in enumerate(turns[:i]):
+            who = re.search("([^:@]*)$", c.sender_id)[1].lower()
+            common = len(words[i] & words[j]) / max(1, min(len(words[i]), len(words[j])))
+            score = 0.5 * 0.5 ** ((q.ts - c.ts) / 900) + 0.4 * common + 0.6 * (len(who) > 1 and f"@{who}" in q.content.lower()) + 0.1 * (q.sender_id != c.sender_id)
+            best = max(best, (round(score, 9), j))
+        parents[q.node] = turns[best[1]].node if best[0] >= threads.LEAST_SCORE else None
+    return parents
+
+
+def links(spark, rows):
+    senders = spark.createDataFrame([("me", "tg")], "sender_id string, platform string")
+    roles = threads.with_roles(threads.messages(spark.createDataFrame(rows, COLUMNS)), senders)
+    turns = threads.ordered(roles, threads.kept_threads(roles))
+    return sorted(turns.collect(), key=lambda t: t.turn_no), {r.node: r.parent for r in threads.reply_links(turns).collect()}
+
+
+def test_parents_far_back(spark):
+    rows = [row("a", 1, "the parser fails on dates", "me", ts=0), row("a", 2, "where is zoë", "zoë", ts=1)]
+    rows += [row("a", n, f"chatter{n} filler{n}", "p", ts=n * 10) for n in range(3, 300)]
+    rows += [row("a", 300, "dates broke the parser", "q", ts=10**6), row("a", 301, "@Zoë really", "q", ts=2 * 10**6), row("a", 302, "unheard of", "q", ts=4 * 10**6)]
+    turns, got = links(spark, rows)
+    assert [got[turns[i].node] for i in (299, 300, 301)] == [turns[0].node, turns[1].node, None]
+
+
+def test_links_equal_those_of_all_pairs(spark):
+    draw = random.Random(5)
+    names, vocabulary = ["me", "tg:ann", "tg:bob", "x:ann"], [f"word{i}" for i in range(25)]
+    rows, ts = [], 0
+    for n in range(1, 620):
+        ts += draw.choice([0, 1, 40, 400, 2000, 9000])
+        mention = f" @{draw.choice(['ann', 'BOB', 'nobody', 'a'])}" if draw.random() < 0.1 else ""
+        sender = names[1] if 200 < n < 500 and draw.random() < 0.995 else draw.choice(names)
+        rows.append(row("a", n, " ".join(draw.choices(vocabulary, k=draw.randint(0, 6))) + " ok" + mention, sender, ts=ts))
+    turns, got = links(spark, rows)
+    assert got == every_pair(turns)
+
+
 def test_link_trees_match_a_walk(spark):
     links = [(i, None if i % 10 == 0 else i - 1 if i % 3 else i // 10 * 10, 1.0) for i in range(200)]
     got = {r.node: r.root for r in threads.link_trees(spark.createDataFrame(links, "node long, parent long, score double")).collect()}
