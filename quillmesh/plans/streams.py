@@ -69,11 +69,11 @@ def stm04(spark, d):
 
 @query("stm05_embed_consumer")
 def stm05(spark, d):
-    """What the embedding consumer makes of all plans and tasks: chunks with their vectors."""
+    """What the embedding consumer makes of all current bundles, but short messages: chunks with their vectors."""
     from pyspark.sql import functions as F
 
     from quillmesh.plans.relational import current
     from quillmesh.streaming import consumers
 
-    b = current(spark, d, "namespace", "contents", "search_text").where(F.col("namespace").endswith("-plan") | F.col("namespace").endswith("-task"))
+    b = current(spark, d, "namespace", "contents", "search_text")
     return consumers.chunk_and_embed(b.where("search_text is not null"), "hashing-64", context=True).select("rid", "chunk_index", F.length("chunk_text").alias("n"), F.size("embedding").alias("dimensions"))

@@ -1,8 +1,10 @@
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from quillmesh.functions import ontology
 from quillmesh.streaming import consumers
 
+QUERIES = queries()
 COLUMNS = "rid string, namespace string, reference string, contents string, search_text string, sha256_hash string, created_at int, updated_at int"
 
 
@@ -28,6 +30,15 @@ def test_merge_embed_and_extract(spark, tmp_path):
     assert spark.read.parquet(table).where("rid = 'b'").first().updated_at == 2  # an unchanged text is left alone
 
 
+def test_all_namespaces_are_embedded(spark, tmp_path):
+    kinds = ["plan", "task", "message", "transcript", "recording", "web", "code", "youtube", "journal", "research"]
+    rows = [bundle(k, f"a {k} that is long enough " * 100, ns=f"x-{k}") for k in kinds] + [bundle("short", "ok", ns="x-message"), bundle("note", "ok", ns="x-journal"), bundle("none", None)]
+    spark.createDataFrame(rows, COLUMNS).write.parquet(str(tmp_path / "bundles.parquet"))
+    got = QUERIES["stm05_embed_consumer"](spark, str(tmp_path)).collect()
+    assert {r.rid for r in got} == {*kinds, "note"}
+    assert all(sum(r.rid == k for r in got) > 1 for k in kinds) and {r.dimensions for r in got} == {64}
+
+
 def test_ontology(spark):
     assert ontology.types_of("message") == ["Person", "Topic", "Organization", "Tool"]
     assert len(ontology.types_of("unknown")) == len(ontology.type_map())
