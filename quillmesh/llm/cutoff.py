@@ -2,8 +2,9 @@
 
 1. Copies. Every version's search_text and the text that its contents make are signed: word shingles of five, min-hash
    bands over their prefixes of 8, 16, 32 ... shingles (a cut copy shares the prefixes of the whole one, so similarity
-   is that of equal lengths, and bands of three rows find 0.8 and more). Per band only the longest copy is kept, by a
-   max that combines on the map side, so copies of a text, however many, make no group of pairs.
+   is that of equal lengths, and bands of three rows find 0.8 and more). Per band the longest copy is tried first, by a
+   max that combines on the map side, so copies of a text, however many, make no group of pairs; a text that ends
+   within a sentence and isn't found so is then compared with every other longer text of its bands.
 2. Alignment. A row's text is laid along its longer copies: it is cut off where all of it matches (at least 0.8 of its
    shingles in the stretch, and its last words) and the copy goes on; another row's copy, which may be a longer edition,
    must go on within the sentence. An exact check follows for rows that no band has found: the text that their own
@@ -236,7 +237,21 @@ def truncated(bundles: DataFrame) -> DataFrame:
     # then the exact check: a row's own contents, for texts too short for bands or hidden behind a longer copy
     own = current.where("made <> ''").join(by_band, "rid", "left_anti").select("rid", "body", F.col("made").alias("copy"), F.lit(True).alias("own"))
     by_own = durable(own.mapInArrow(_align, "rid string").distinct())
-    by_copy = by_band.withColumn("how", F.lit("copy")).unionByName(by_own.withColumn("how", F.lit("contents")))
+    # texts that only begin alike hide each other behind the longest: what ends within a sentence is laid along every
+    # other longer text of its bands
+    seen = by_band.unionByName(by_own)
+    unsure = current.where(~F.col("body").rlike(MARK_END.pattern)).join(seen, "rid", "left_anti").select("text_id").distinct()
+    once = signed.dropDuplicates(["text_id"])
+    held = once.select(F.explode("keys").alias("key"), F.col("size").alias("its_size"), F.col("text_id").alias("copy_id"))
+    further = asking.join(unsure, "text_id", "left_semi").join(held, "key").where("its_size > size").select("text_id", "copy_id").distinct().join(pairs, ["text_id", "copy_id"], "left_anti")
+    further = durable(further)
+    needed = further.select(F.col("copy_id").alias("text_id")).distinct()
+    copies = every.join(needed, "text_id", "left_semi").groupBy(F.col("text_id").alias("copy_id")).agg(F.max("body").alias("copy"))
+    asked = current.where(~F.col("body").rlike(MARK_END.pattern)).select("text_id", "body").dropDuplicates(["text_id"])
+    found = further.join(asked, "text_id").join(copies, "copy_id").select(F.col("text_id").cast("string").alias("rid"), "body", "copy", F.lit(False).alias("own"))
+    cut_ids = found.mapInArrow(_align, "rid string").distinct().select(F.col("rid").cast("long").alias("text_id"))
+    by_other = durable(current.join(cut_ids, "text_id", "left_semi").join(seen, "rid", "left_anti").select("rid"))
+    by_copy = by_band.unionByName(by_other).withColumn("how", F.lit("copy")).unionByName(by_own.withColumn("how", F.lit("contents")))
     left = current.join(by_copy.select("rid"), "rid", "left_anti").select("rid", "namespace", "body")
     words = current.select("body").mapInArrow(_count_words, "word string, met long, closed long").groupBy("word").agg(F.sum("met").alias("met"), F.sum("closed").alias("closed"))
     words = durable(words)

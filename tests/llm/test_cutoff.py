@@ -52,6 +52,15 @@ def test_many_copies_of_a_text(spark):
     assert set(found(spark, rows)) == {"cut"}
 
 
+def test_a_longer_text_that_only_begins_alike(spark):
+    whole = text(*range(450, 460))
+    cut = whole[:500]
+    cut = cut[: cut.rindex(" was")]
+    other = cut[: cut.rindex("Nothing")] + text(*range(470, 490))
+    rows = [*BASE, plan("whole", whole), plan("longest", other), plan("cut", cut), plan("longer", other + " " + text(491))]
+    assert found(spark, rows) == {"cut": "copy"}
+
+
 def test_endings(spark):
     ends = {"midword": "Nothing in the curs", "open": "Nothing in the cursor explains why the", "mark": "Nothing in the cursor,", "quote": "He wrote “Nothing in the cursor"}
     rows = [*BASE, *(plan(k, text(500) + " " + v) for k, v in ends.items())]
