@@ -61,6 +61,9 @@ ENCODED = re.compile(r"(?:^|\s)[A-Za-z0-9+/=]{40,}$")
 ADDRESS = re.compile(r"https?://\S+$")
 TASK = re.compile(r"\s*[-*+] \[[ xX]\] ")
 CLAUSES = re.compile(r"[぀-ヿ一-鿿ក-៿]")
+#: Scripts without blanks, each character of which counts as a word of a shingle.
+UNSPACED = r"\u3040-\u30ff\u3400-\u9fff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+PIECES = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
 _QUOTES = {"“": "”", "«": "»", "„": "“”", "「": "」", "『": "』"}
 
 
@@ -76,8 +79,11 @@ def _last_token(word: str) -> str:
 
 
 def signatures(texts: list[str]) -> list[np.ndarray]:
-    """Band keys of every prefix level of each text, least level first; none under 8 shingles."""
-    split = [t.split() for t in texts]
+    """Band keys of every prefix level of each text, least level first; none under 8 shingles.
+
+    Characters of scripts without blanks are words of their own.
+    """
+    split = [t.split() if t.isascii() else PIECES.findall(t) for t in texts]
     sizes = np.fromiter((len(w) for w in split), dtype=np.int64, count=len(split))
     out = [np.empty(0, dtype=np.int64)] * len(texts)
     if not sizes.sum():
@@ -241,9 +247,10 @@ def truncated(bundles: DataFrame) -> DataFrame:
     # other longer text of its bands
     seen = by_band.unionByName(by_own)
     unsure = current.where(~F.col("body").rlike(MARK_END.pattern)).join(seen, "rid", "left_anti").select("text_id").distinct()
-    once = signed.dropDuplicates(["text_id"])
-    held = once.select(F.explode("keys").alias("key"), F.col("size").alias("its_size"), F.col("text_id").alias("copy_id"))
-    further = asking.join(unsure, "text_id", "left_semi").join(held, "key").where("its_size > size").select("text_id", "copy_id").distinct().join(pairs, ["text_id", "copy_id"], "left_anti")
+    asks = durable(asking.join(unsure, "text_id", "left_semi"))
+    held = signed.select(F.explode("keys").alias("key"), F.col("size").alias("its_size"), F.col("text_id").alias("copy_id"))
+    held = held.join(asks.select("key").distinct(), "key", "left_semi").distinct()
+    further = asks.join(held, "key").where("its_size > size").select("text_id", "copy_id").distinct().join(pairs, ["text_id", "copy_id"], "left_anti")
     further = durable(further)
     needed = further.select(F.col("copy_id").alias("text_id")).distinct()
     copies = every.join(needed, "text_id", "left_semi").groupBy(F.col("text_id").alias("copy_id")).agg(F.max("body").alias("copy"))
@@ -251,7 +258,14 @@ def truncated(bundles: DataFrame) -> DataFrame:
     found = further.join(asked, "text_id").join(copies, "copy_id").select(F.col("text_id").cast("string").alias("rid"), "body", "copy", F.lit(False).alias("own"))
     cut_ids = found.mapInArrow(_align, "rid string").distinct().select(F.col("rid").cast("long").alias("text_id"))
     by_other = durable(current.join(cut_ids, "text_id", "left_semi").join(seen, "rid", "left_anti").select("rid"))
-    by_copy = by_band.unionByName(by_other).withColumn("how", F.lit("copy")).unionByName(by_own.withColumn("how", F.lit("contents")))
+    # earlier versions of a text too short for bands
+    seen = seen.unionByName(by_other)
+    several = rows.groupBy("rid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rid")
+    short = current.where((F.size(F.split("body", r"\s+")) < FIRST_LEVEL + SHINGLE - 1) & ~F.col("body").rlike(MARK_END.pattern))
+    short = short.select("rid", F.col("body").alias("mine")).join(several, "rid", "left_semi").join(seen, "rid", "left_anti")
+    versions = rows.select("rid", F.explode(F.array("body", "made")).alias("copy")).join(short, "rid").where(F.length("copy") > F.length("mine"))
+    by_version = durable(versions.select("rid", "mine", "copy", F.lit(False).alias("own")).mapInArrow(_align, "rid string").distinct())
+    by_copy = by_band.unionByName(by_other).unionByName(by_version).withColumn("how", F.lit("copy")).unionByName(by_own.withColumn("how", F.lit("contents")))
     left = current.join(by_copy.select("rid"), "rid", "left_anti").select("rid", "namespace", "body")
     words = current.select("body").mapInArrow(_count_words, "word string, met long, closed long").groupBy("word").agg(F.sum("met").alias("met"), F.sum("closed").alias("closed"))
     words = durable(words)

@@ -61,6 +61,14 @@ def test_a_longer_text_that_only_begins_alike(spark):
     assert found(spark, rows) == {"cut": "copy"}
 
 
+def test_scripts_without_blanks_and_short_earlier_versions(spark):
+    texts = {"zh": "每个仪表板保留二十六份捆绑包的副本而园丁希望更少因为磁盘已经满了", "th": "แดชบอร์ดแต่ละตัวเก็บสำเนาของชุดข้อมูลไว้ยี่สิบหกชุดแต่คนสวนต้องการน้อยกว่านั้น"}
+    bare = lambda rid, body, at=1: (rid, "x-web", None, body, at, "", "")
+    rows = [*BASE, *(bare(k, v) for k, v in texts.items()), *(bare(k + "-cut", v[: len(v) * 3 // 4]) for k, v in texts.items())]
+    rows += [bare("v", "can you check the feed and the ledger"), bare("v", "can you check the feed", 2), bare("done", "Look at the feed. Then stop"), bare("done", "Look at the feed.", 2)]
+    assert found(spark, rows) == {"zh-cut": "copy", "th-cut": "copy", "v": "copy"}
+
+
 def test_endings(spark):
     ends = {"midword": "Nothing in the curs", "open": "Nothing in the cursor explains why the", "mark": "Nothing in the cursor,", "quote": "He wrote “Nothing in the cursor"}
     rows = [*BASE, *(plan(k, text(500) + " " + v) for k, v in ends.items())]
