@@ -115,13 +115,13 @@ def rerank_chunked(hits: DataFrame, scorer, chunks: Column, most: int = 20) -> D
 
 
 def hashing_embedder(dimensions: int = 64):
-    """The embedder that needs no model: signed hashed word counts of unit length."""
+    """The embedder that needs no model: signed hashed counts of all words of a text, of unit length."""
 
     @F.pandas_udf("array<float>")
     def embed(text: pd.Series) -> pd.Series:
         def one(t: str | None) -> list[float]:
             v = np.zeros(dimensions)
-            for word in re.findall(r"[^\W_]+", (t or "")[:2000].lower()):
+            for word in re.findall(r"[^\W_]+", (t or "").lower()):
                 h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
                 v[h % dimensions] += 1 if h >> 63 else -1
             n = math.sqrt(float(v @ v))

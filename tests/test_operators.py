@@ -195,3 +195,9 @@ def test_many_queries(spark):
     assert {(r.query_id, r.rid) for r in got} == {("1", "a"), ("1", "b"), ("2", "c"), ("5", "a"), ("5", "b")}
     one = {r.rid: round(r["rank"], 5) for r in fulltext.search(fulltext.postings(words), fulltext.corpus_size(words), "quick brown").collect()}
     assert {r.rid: r["rank"] for r in got if r.query_id == "1"} == one
+
+
+def test_whole_texts_are_embedded(spark):
+    embed = retrieval.EMBEDDERS.create("hashing", 16)
+    r = spark.createDataFrame([("word " * 1000, "word " * 1000 + "others at the end " * 300)], "a string, b string").select(embed("a").alias("a"), embed("b").alias("b")).first()
+    assert r.a != r.b
