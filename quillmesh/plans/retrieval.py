@@ -247,16 +247,13 @@ def join13(spark, d):
     """Names found in texts: both sides are cut into word runs of the names' lengths and joined on them, no name is
     tried on every text."""
     names = table(spark, d, "entities").where(F.col("entity_type").isin("Topic", "Project", "Tool", "Concept") & (F.length("name_normalized") >= 5) & F.col("name_normalized").rlike("^[a-z ]+$")).select(F.col("name_normalized").alias("name")).distinct()
-    sizes = sorted(r.n for r in names.select(F.size(F.split("name", " ")).alias("n")).distinct().limit(12).collect())
+    sizes = sorted(r.n for r in names.select(F.size(F.split("name", " ")).alias("n")).distinct().collect())
     docs = current(spark, d, "search_text").where("search_text is not null")
     from quillmesh.functions.text import tokens
 
-    words = docs.select("rid", tokens(F.col("search_text")).alias("w"))
-    runs = None
-    for n in sizes or [1]:
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (n - 1))), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")))
-        part = words.select("rid", F.explode(grams).alias("name"))
-        runs = part if runs is None else runs.unionByName(part)
+    words = docs.select("rid", tokens(F.col("search_text")).alias("w")).withColumn("n", F.explode(F.array(*map(F.lit, sizes or [1]))))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (F.col("n") - 1))), lambda i: F.array_join(F.slice("w", i, F.col("n")), " ")))
+    runs = words.select("rid", F.explode(grams).alias("name"))
     return runs.join(names, "name").select("rid", "name").distinct()
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.operators import entities, evaluation, fulltext, graph, ingest, retrieval
 from quillmesh.operators.components import connected_components
+from quillmesh.plans import catalog
 
 BUNDLE = "rid string, namespace string, reference string, hash string, created_at int, updated_at int"
 
@@ -201,3 +202,10 @@ def test_whole_texts_are_embedded(spark):
     embed = retrieval.EMBEDDERS.create("hashing", 16)
     r = spark.createDataFrame([("word " * 1000, "word " * 1000 + "others at the end " * 300)], "a string, b string").select(embed("a").alias("a"), embed("b").alias("b")).first()
     assert r.a != r.b
+
+
+def test_names_of_many_lengths_are_found(spark, tmp_path):
+    names = [" ".join(["alpha"] + ["beta"] * n) for n in range(20)]
+    spark.createDataFrame([("Topic", n) for n in names], "entity_type string, name_normalized string").write.parquet(str(tmp_path / "entities.parquet"))
+    spark.createDataFrame([("a", 1, f"See {names[-1]}.")], "rid string, updated_at int, search_text string").write.parquet(str(tmp_path / "bundles.parquet"))
+    assert {r.name for r in catalog.QUERIES["join13_cross_references"](spark, str(tmp_path)).collect()} == set(names)
