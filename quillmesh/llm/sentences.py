@@ -47,7 +47,6 @@ BULLET = re.compile(r"\s*[-*+•]\s")
 NUMBERED = re.compile(r"\s*\d{1,3}[.)]\s")
 PAIRS = {"“": "”", "«": "»", "„": "“”", "「": "」", "『": "』", "(": ")", "（": "）", "`": "`", '"': '"'}
 OPENING = re.compile(r"[“«„「『(（`\"]")
-LONGEST_QUOTE = 600
 FIXED = frozenset("。！？।۔؟።።។")
 GLUED = re.compile(r"[^\W\d_]{2,}\.[^\W\d_]")
 TOKEN_BEFORE = re.compile(r"\S+$")
@@ -87,24 +86,20 @@ def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
 def _protected(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """Outermost closed quotations, brackets and code of a block, in order."""
     out, at = [], start
+    never: set[str] = set()  # marks that no close follows, so that each is looked for to the end only once
     while m := OPENING.search(text, at, end):
         i = m.start()
         mark = text[i]
         close = PAIRS[mark]
         stop = -1
-        limit = min(end, i + LONGEST_QUOTE)
-        if len(close) == 1 and close not in "“":
-            stop = text.find(close, i + 1, limit)
-        else:
-            for k in range(i + 1, limit):
-                if text[k] in close:
-                    stop = k
-                    break
+        if mark not in never:
+            stop = min((k for c in close if (k := text.find(c, i + 1, end)) >= 0), default=-1)
         if stop < 0:
+            never.add(mark)
             at = i + 1
             continue
         if mark in "(（" and (inner := text.find(mark, i + 1, stop)) >= 0:  # one level of nesting
-            again = text.find(close, stop + 1, limit)
+            again = text.find(close, stop + 1, end)
             stop = again if again >= 0 and inner >= 0 else stop
         out.append((i, stop))
         at = stop + 1

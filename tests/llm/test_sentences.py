@@ -99,3 +99,9 @@ def test_table(spark):
     assert {r.doc_id for r in got} == {1, None} and len([r for r in got if r.doc_id == 1]) % 2 == 0
     assert all(r.end_pos - r.start_pos == len(r.sentence) for r in got)
     assert S.sentences(df.limit(0)).count() == 0
+
+
+def test_a_long_quotation_is_one_unit():
+    for opening, closing in ("“”", "()", '""'):
+        quoted = f"{opening}{'We went home. Then it rained. ' * 40}It stopped.{closing}"
+        assert cut(f"He left. {quoted} It was late.")[1].startswith(quoted)
