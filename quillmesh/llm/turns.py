@@ -1,9 +1,14 @@
 """Speech transcripts of several layouts into clean, ordered speaker turns.
 
-A finite-state line parser knows caption files (cue times between arrows, voice tags or labels, cue numbers),
-lines and running text with time marks in brackets, and plain labelled lines. From every line time mark, label, sound
-notes and standalone hesitations are taken off; lines are put in order of time, lines without words are dropped, and
-following lines of one speaker become one turn.
+A finite-state line parser knows caption files (cue times between arrows, voice tags or labels, cue numbers), lines and
+running text with time marks in brackets, lines led by a bare time, labels with a time behind them, and plain labelled
+lines. From every line time mark, label, sound notes and standalone hesitations are taken off; lines are put in order
+of time, lines without words are dropped, and following lines of one speaker become one turn.
+
+What stands in brackets or stars is a sound note if it stands alone on its line, is in capitals, or names a sound
+(``SOUNDS``); otherwise it is speech and stays, without stars. A label must look like a name and recur in the record,
+be numbered, have a name's form (two capitalised parts), or stand in a record whose lines are labelled; words that
+lead remarks (``REMARKS``) are none.
 
 Labels of one speaker are matched within a record: numbered labels by number; names by case, spacing, order around a
 comma, role in brackets, initial, or first name alone where only one full name of the record agrees.
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,13 +34,25 @@ SECONDS = r"\d+(?:[.,]\d+)?\s*s?"
 CUE = re.compile(rf"^\s*({CLOCK}|{SECONDS})\s*-->\s*(?:{CLOCK}|{SECONDS}).*$")
 MARK = re.compile(rf"[\[(]\s*({CLOCK}|\d+(?:\.\d+)?\s*s)(?:\s*(?:-->|->|–|-)\s*(?:{CLOCK}|{SECONDS}))?\s*[\])]\s*")
 VOICE = re.compile(r"<v(?:\.[^\s>]*)?\s+([^>]*)>")
-NOTE = re.compile(r"\(\([^()]*\)\)|\([^()]*\)|\[[^\[\]]*\]|<[^<>]*>|\*[^*\n]+\*|♪[^♪\n]*♪|♪+")
+LEAD = re.compile(rf"^\s*({CLOCK})(?:\s*(?:-->|->|[-–—])\s*{CLOCK})?(?:\s*[-–—|]\s+|\s+)(?=\S)")
+LABEL_TIME = re.compile(rf"^\s*([^:\[\]()<>\n]{{1,60}}?)\s*[\[(]\s*({CLOCK})\s*[\])]\s*:\s*(.*)$")
+#: Markup, transcribers' double brackets and music are never speech; the rest depends on what it says.
+MARKUP = re.compile(r"\(\([^()]*\)\)|<[^<>]*>|♪[^♪\n]*♪|♪+")
+ASIDE = re.compile(r"\(([^()]*)\)|\[([^\[\]]*)\]|\*([^*\n]+)\*")
+#: How words for sounds begin.
+SOUNDS = re.compile(
+    r"\b(?:applau|music|laugh|chuckl|giggl|snicker|cough|sigh|sneez|sniff|gasp|groan|moan|cheer|clap|whistl|sobb|scream|yawn|hum(?:s|ming)\b|breath|inhal|exhal|paus|silen|inaudib|unintelligib|indistinct|"
+    r"cross-?talk|overlapping|nois|static\b|beep|bleep|buzz|rings?\b|ringing|knock|slam|creak|footstep|background|thunder|rustl|clears? throat|snort|mumbl|murmur|sings?\b|singing|whisper|blank_audio|"
+    r"lachen|lacht|applaus|musik|husten|seufz|räusper|rires?\b|musique|toux|soupir|risas?\b|aplauso|música|suspir|смех|смеётся|аплодис|музык|кашель|вздох)|笑|掌声|音乐|音楽|拍手|咳|박수|웃음|음악",
+    re.IGNORECASE,
+)
+REMARKS = frozenset("note notes nb ps warning update question answer example summary todo re subject agenda action actions conclusion result results reminder tip hint well so yes no and but ok okay now then oh hey look listen right sure anyway actually basically honestly frankly maybe perhaps also still also thanks sorry please".split())
 #: Sounds of hesitation that stand alone as a word, with the marks that follow them.
-FILLER = re.compile(r"(?<![\w'’-])(?:u+h*m+|u+h+|e+r+m*|h+m+|m+h+m+|mm+|a+h+m*|e+h+m*)(?![\w'’-])(?:\.\.\.|…|[,.])?", re.IGNORECASE)
+FILLER = re.compile(r"(?<![\w'’-])(?:u+h*m+|u+h+|e+r+m*|h+m+|m+h+m+|mm+|a+h+m*|e+h+m*|[äö]+h+m*|e+u+h+|h+e+u+|э+м*|э-э|[хг]м+|嗯+|呃+|额+|え[ーえ]+と?|えっと|う[ーう]+ん|음+|어+)(?![\w'’-])(?:\.\.\.|…|[,.，、。])?", re.IGNORECASE)
 NUMBERED = re.compile(r"^(?:speaker|spk|sprecher|participant|s)[\s_#-]*0*(\d{1,3})$", re.IGNORECASE)
 ROLE = re.compile(r"\s*\([^()]*\)\s*$")
 NAME = re.compile(r"^[^\W\d_][^\W\d_.'’-]*\.?(?:,?\s+[^\W\d_][^\W\d_'’-]*\.?){0,3}$")
-LABEL = re.compile(r"^\s*([^:<>\[\]\n]{1,60}?)\s*(?::|\s[-–—])\s+(?=\S)|^\s*([^:<>\[\]\n]{1,60}?)\s*:\s*$")
+LABEL = re.compile(r"^\s*([^:：<>\[\]\n]{1,60}?)\s*(:\s|：|\s[-–—]\s)\s*(?=\S)|^\s*([^:：<>\[\]\n]{1,60}?)\s*[:：]\s*$")
 WORD = re.compile(r"\w")
 
 
@@ -69,7 +87,7 @@ def _label_key(label: str) -> tuple[str, ...] | None:
 
 
 def _is_shouted_or_titled(label: str) -> bool:
-    return all(w[0].isupper() for w in re.findall(r"[^\W\d_]+", ROLE.sub("", label)))
+    return all(not w[0].islower() for w in re.findall(r"[^\W\d_]+", ROLE.sub("", label)))
 
 
 def parse(text: str) -> list[tuple[float | None, str | None, str]]:
@@ -93,6 +111,12 @@ def parse(text: str) -> list[tuple[float | None, str | None, str]]:
             raw.append((cue, bare))
             continue
         state = "text"
+        if m := LABEL_TIME.match(bare):
+            raw.append((clock_seconds(m[2]), f"{m[1]}: {m[3]}"))
+            continue
+        if m := LEAD.match(bare):
+            raw.append((clock_seconds(m[1]), bare[m.end() :]))
+            continue
         marks = list(MARK.finditer(bare))
         if not marks:
             raw.append((None, bare))
@@ -101,31 +125,58 @@ def parse(text: str) -> list[tuple[float | None, str | None, str]]:
             raw.append((None, head))
         for m, after in zip(marks, [*(x.start() for x in marks[1:]), len(bare)], strict=True):
             raw.append((clock_seconds(m[1]), bare[m.end() : after].strip()))
-    known = set()
+    met: Counter[tuple[str, ...]] = Counter()
+    labelled = 0
     for _, line in raw:
         m = LABEL.match(line)
-        label = m and (m[1] or m[2])
-        if label and _is_shouted_or_titled(label) and (key := _label_key(label)):
-            known.add(key)
-            known.add(key[:1])
+        label = m and (m[1] or m[3])
+        key = label and _label_key(label)
+        if key and key[0] not in REMARKS and _is_shouted_or_titled(label):
+            met[key] += 1
+            labelled += (m[2] or ":").strip() in (":", "：")
+            if len(key) == 2:
+                met[key[:1]] += 1
+    layout = 5 * labelled >= len(raw)
     out = []
     for time, line in raw:
         label = None
         if m := VOICE.match(line):
             label, line = m[1], line[m.end() :]
         elif m := LABEL.match(line):
-            found = m[1] or m[2]
-            key = _label_key(found)
-            after = line[m.end() :].lstrip("\"'“")
-            if key and (key[0] == "#" or _is_shouted_or_titled(found) or key in known or key[:1] in known or (len(key) == 2 and len(found.split()) == 2 and not (after[:1].islower() and WORD.search(clean(after))))):
+            found = m[1] or m[3]
+            if (key := _label_key(found)) and _is_label(found, key, line[m.end() :], met, layout):
                 label, line = found, line[m.end() :]
         out.append((time, label, line))
     return out
 
 
+def _is_label(found: str, key: tuple[str, ...], after: str, met: Counter, layout: bool) -> bool:
+    """Whether what stands before a colon or dash names a speaker."""
+    if key[0] == "#":
+        return True
+    if key[0] in REMARKS and len(key) == 1:
+        return False
+    known = met[key] + (met[key[:1]] if len(key) == 2 else 0)
+    titled = _is_shouted_or_titled(found)
+    if titled and (len(key) == 2 or met[key] > 1 or layout):
+        return True
+    if not titled and known:
+        return True
+    goes_on = after.lstrip("\"'“")[:1].islower() and WORD.search(clean(after))
+    return not titled and len(key) == 2 and len(found.split()) == 2 and not goes_on
+
+
 def clean(words: str) -> str:
     """The words of a line without sound notes and standalone hesitations; empty if none are left."""
-    bare = NOTE.sub(" ", words)
+    alone = not WORD.search(FILLER.sub(" ", ASIDE.sub(" ", MARKUP.sub(" ", words))))
+
+    def aside(m: re.Match) -> str:
+        said = next(x for x in m.groups() if x is not None)
+        letters = [c for c in said if c.isalpha()]
+        sound = alone or not letters or (all(c.isupper() for c in letters) and len(letters) > 2) or (len(said.split()) <= 4 and SOUNDS.search(said))
+        return " " if sound else said if m[3] is not None else m[0]
+
+    bare = ASIDE.sub(aside, MARKUP.sub(" ", words))
     bare = " ".join(FILLER.sub(" ", bare).split())
     bare = re.sub(r"\s+([,.;:!?…])", r"\1", bare).lstrip(",;: ")
     return bare if WORD.search(bare) else ""

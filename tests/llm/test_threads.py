@@ -113,6 +113,46 @@ def test_links_equal_those_of_all_pairs(spark):
     assert got == every_pair(turns)
 
 
+def test_interleaved_talk_is_parted(spark):
+    """Three conversations in one thread, whose turns take up words of what they answer: nine in ten told replies are
+    found without their reply_to, and hardly a link leads from one talk to another."""
+    draw = random.Random(8)
+    talks = [[f"{kind}{i}" for i in range(60)] for kind in ("garden", "engine", "ledger")]
+    people = [["me", "tg:ann"], ["tg:bob", "tg:cleo"], ["tg:dora", "tg:emil"]]
+    rows, last, ts = [], [None] * 3, 1_700_000_000
+    for n in range(1, 500):
+        k = draw.randrange(3)
+        ts += draw.choice([5, 30, 90])
+        sender, words = people[k][n % 2], draw.sample(talks[k], 4)
+        if last[k]:
+            words[:2] = draw.sample(last[k][2], 2)
+        text = " ".join(words) + (f" @{last[k][1].rsplit(':', 1)[-1]}" if last[k] and draw.random() < 0.2 else "")
+        rows.append(row("a", n, text, sender, ts=ts, reply=f"tg:a:{last[k][0]}" if last[k] else None))
+        last[k] = (n, sender, words)
+    senders = spark.createDataFrame([("me", "tg")], "sender_id string, platform string")
+    turns = threads.spoken_turns(spark.createDataFrame(rows, COLUMNS), senders)
+    told, found = threads.reply_recall(turns).first()
+    assert told == 496 and found >= 0.9 * told
+    talk = {t.node: t.content[:6] for t in turns.collect()}
+    got = threads.reply_links(turns, hidden=True).where("parent is not null").collect()
+    assert len(got) > 480 and sum(talk[r.node] == talk[r.parent] for r in got) >= 0.95 * len(got)
+
+
+def test_weights_follow_the_choices():
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    x = draw.random((4000, 4))
+    group = np.repeat(np.arange(400), 10)
+    best = x.reshape(400, 10, 4)[:, :, 1].argmax(axis=1) + np.arange(400) * 10
+    chosen = np.zeros(4000)
+    chosen[best] = 1
+    w = threads.fit_weights(chosen, group, x)
+    assert w[1] == max(w) > 0.8 and abs(sum(w) - sum(threads.WEIGHTS)) < 1e-9
+    assert threads.fit_weights(np.empty(0), np.empty(0), np.empty((0, 4))) == threads.WEIGHTS
+    assert threads.least_score(threads.WEIGHTS)[0] == threads.LEAST_SCORE
+
+
 def test_link_trees_match_a_walk(spark):
     links = [(i, None if i % 10 == 0 else i - 1 if i % 3 else i // 10 * 10, 1.0) for i in range(200)]
     got = {r.node: r.root for r in threads.link_trees(spark.createDataFrame(links, "node long, parent long, score double")).collect()}

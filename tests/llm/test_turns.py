@@ -40,6 +40,25 @@ def test_notes_and_hesitations():
     assert turns.clean("an umbrella for her") == "an umbrella for her"
 
 
+def test_speech_in_brackets_and_stars_stays():
+    assert short("Anna: We shipped it (the new one) today\nAnna: it *really* works [laughs] (coughs)\nBen: (THE END) [see above] yes") == [(1, 1, "We shipped it (the new one) today it really works"), (2, 2, "[see above] yes")]
+
+
+def test_remarks_are_no_labels():
+    assert short("Anna: hi\nBen: hello\nWell - I think so\nAnna: ok") == [(1, 1, "hi"), (2, 2, "hello Well - I think so"), (3, 1, "ok")]
+    assert short("Anna: hi\nBen: hello\nNote: bring the keys") == [(1, 1, "hi"), (2, 2, "hello Note: bring the keys")]
+
+
+def test_bare_times_and_times_behind_labels():
+    assert short("00:01:02 Anna: hello\n00:01:01 Ben: first\n00:01:05 - Anna: last") == [(1, 1, "first"), (2, 2, "hello last")]
+    assert short("Anna [00:01]: hello\nBen (00:03): hi\nAnna [00:02]: again") == [(1, 1, "hello again"), (2, 2, "hi")]
+
+
+def test_other_scripts_and_languages():
+    assert short("李: 你好\n王: 再见\n李：嗯，好的") == [(1, 1, "你好"), (2, 2, "再见"), (3, 1, "好的")]
+    assert short("Sprecher 1: Äh, guten Tag\nSprecher 2: öhm ja (lacht)\nSprecher 2: Hm.") == [(1, 1, "guten Tag"), (2, 2, "ja")]
+
+
 def test_defined_results():
     assert turns.turns(None) == turns.turns("") == turns.turns(" \n ") == turns.turns("WEBVTT\n\n") == []
     assert short("a" * 200_000) == [(1, 1, "a" * 200_000)]
