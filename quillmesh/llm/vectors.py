@@ -4,7 +4,8 @@ Vectors are scaled to length 1, so a cosine c is a distance sqrt(2 - 2c). Per co
 fitted on a bounded sample of its vectors; its leaves are the shards. Every vector is stored in one leaf, its home. A
 search of radius r enters both sides of a node where |d(q, vantage) - median| <= r / factor: with factor 1 that is
 the triangle inequality and the search is exact, a larger factor leaves out more. Inside a leaf all distances are
-computed, in blocks.
+computed, in blocks. The nearest-neighbour search takes two passes: the first looks into a query's home leaf, and the
+distance of the k-th neighbour found there is the query's own radius in the second.
 
 Shards of more rows than ``block`` are cut into blocks, and their searching rows into parts, which meet one by one; so
 no task holds more than about ``block`` stored and four times as many searching rows, even if a third of all vectors
@@ -27,9 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillmesh.runtime import durable
+
 #: The tree of a configuration is fitted on about so many of its vectors for each leaf, within these bounds.
 SAMPLE_PER_LEAF = 128
 SAMPLE = (2048, 65_536)
+#: Bytes that the samples of all configurations have together at most.
+SAMPLE_BYTES = 256 << 20
 #: Rows that a leaf should hold, and most stored rows that one group compares.
 LEAF = 8192
 BLOCK = 8192
@@ -65,8 +70,8 @@ class VantageTree:
             self.points[node], self.median[node] = best[1], best[2]
             todo += [(2 * node + 1, rows[best[3]], level + 1), (2 * node + 2, rows[~best[3]], level + 1)]
 
-    def visit(self, vectors: np.ndarray, margin: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(leaf, rows that enter it, which of them live there)."""
+    def visit(self, vectors: np.ndarray, margin: float | np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(leaf, rows that enter it, which of them live there); the margin is one for all or one for each row."""
         todo = [(0, np.arange(len(vectors)), np.ones(len(vectors), dtype=bool))]
         while todo:
             node, rows, home = todo.pop()
@@ -76,7 +81,8 @@ class VantageTree:
                 continue
             d = distance(vectors[rows], self.points[node])
             m = self.median[node]
-            left, right = d <= m + margin, d > m - margin
+            wide = margin[rows] if isinstance(margin, np.ndarray) else margin
+            left, right = d <= m + wide, d > m - wide
             todo += [(2 * node + 1, rows[left], home[left] & (d <= m)[left]), (2 * node + 2, rows[right], home[right] & (d > m)[right])]
 
 
@@ -124,13 +130,15 @@ def fit_trees(usable: DataFrame, leaf: int = LEAF, sample: tuple[int, int] = SAM
     the sample.
 
     Fitted on the vectors with the least hashes of their ids: ``SAMPLE_PER_LEAF`` for each leaf, at least and at most
-    ``sample`` of a configuration. Configurations are settings, so what reaches the driver is bounded by the greater
-    of these x dimensions of each.
+    ``sample`` of a configuration, and no more than fit in ``SAMPLE_BYTES`` for all configurations together.
     """
-    counts = {r.config_id: r.n for r in usable.groupBy("config_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts, most = {}, {}
+    for r in usable.groupBy("config_id").agg(F.count(F.lit(1)).alias("n"), F.max("dimensions").alias("d")).collect():
+        counts[r.config_id], most[r.config_id] = r.n, r.d
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for c, n in sorted(counts.items()) for x in (c, min(1.0, min(sample[1], max(sample[0], SAMPLE_PER_LEAF * n // leaf)) / n))])
+    room = {c: max(1, min(sample[1], SAMPLE_BYTES // len(counts) // (4 * d))) for c, d in most.items()}
+    share = F.create_map(*[F.lit(x) for c, n in sorted(counts.items()) for x in (c, min(1.0, min(room[c], max(sample[0], SAMPLE_PER_LEAF * n // leaf)) / n))])
     picked = usable.where((F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / float(1 << 30)) < share[F.col("config_id")])
     got = picked.select("config_id", "embedding").toArrow()
     trees = {}
@@ -291,15 +299,71 @@ def similar_pairs(chunks: DataFrame, configs: DataFrame, least: float = 0.9, fac
     return pairs.groupBy("vec_id_a", "vec_id_b").agg(F.max("cosine").alias("cosine"))
 
 
+def _query_router(plan: dict, factor: float):
+    """Rows for the groups they take part in: a row without a radius is stored in its home, one with a radius asks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = np.asarray(batch.column(1).to_pylist(), dtype=object)
+            ids_all = batch.column(0).to_numpy(zero_copy_only=False)
+            radii = batch.column(4).to_numpy(zero_copy_only=False).astype(np.float64)
+            _, made = unit_rows(batch.column(2), batch.column(3).to_numpy(zero_copy_only=False))
+            for rows, matrix in made.values():
+                for config in set(names[rows].tolist()):
+                    own = np.flatnonzero(names[rows] == config)
+                    ids, units, radius = ids_all[rows[own]], matrix[own], radii[rows[own]]
+                    tree, sizes = plan[config]
+                    asks = ~np.isnan(radius)
+                    margin = np.where(asks, radius / factor + (1e-6 if factor <= 1 else 0.0), 0.0)
+                    held: list[list[np.ndarray]] = [[], [], [], [], []]
+
+                    def add(leaf, block, part, stored, which):
+                        for column, x in zip(held, (np.full(len(which), leaf), block, part, np.full(len(which), stored), which), strict=True):
+                            column.append(x)
+
+                    for leaf, who, home in tree.visit(units, margin):
+                        blocks, parts = sizes[leaf]
+                        lives, seeks = who[home & ~asks[who]], who[asks[who]]
+                        for p in range(parts):
+                            add(leaf, _scatter(ids[lives], 40, blocks), np.full(len(lives), p), True, lives)
+                        for b in range(blocks):
+                            add(leaf, np.full(len(seeks), b), _scatter(ids[seeks], 20, parts), False, seeks)
+                    which = np.concatenate(held[4])
+                    raw, width = units.tobytes(), units.shape[1] * 4
+                    stored = np.concatenate(held[3]).astype(bool)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([config] * len(which), type=pa.string()),
+                            *(pa.array(np.concatenate(x).astype(np.int32)) for x in held[:3]),
+                            pa.array(stored), pa.array(~stored), pa.array(ids[which], type=pa.int64()),
+                            pa.array([raw[i * width : (i + 1) * width] for i in which.tolist()], type=pa.binary()),
+                        ],
+                        names=["config_id", "leaf", "block", "part", "stored", "searching", "vec_id", "unit"],
+                    )
+
+    return run
+
+
 def nearest(chunks: DataFrame, configs: DataFrame, k: int = 10, every: int = 20, factor: float = 4.0, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """The ``k`` nearest rows ``(vec_id, rank, neighbour, cosine)`` of every row whose id is divisible by ``every``.
 
-    With factor 1 or less the searches enter every leaf, so the result is exact.
+    A query's radius is the distance of the k-th neighbour in its home leaf, an upper bound of that of its true k-th
+    one (2, which is everything, where the leaf has fewer); it is divided by ``factor`` for the pruning, so with factor
+    1 the result is exact by the triangle inequality.
     """
     usable = _usable(chunks, configs)
     trees = fit_trees(usable, leaf, k=k)
-    margins = {c: (4.0 if factor <= 1 else r / factor) for c, (_, _, r, _) in trees.items()}
-    routed = usable.select("vec_id", "config_id", "embedding", "dimensions").mapInArrow(_router(_plan(trees, margins, block, every), margins, every), _ROUTED)
-    found = routed.groupBy("config_id", "leaf", "block", "part").applyInArrow(_nearest_in_group(k), "vec_id long, neighbour long, cosine double")
+    rows = usable.select("vec_id", "config_id", "embedding", "dimensions")
+    asking = rows.where(F.col("vec_id") % every == 0)
     order = W.partitionBy("vec_id").orderBy(F.desc("cosine"), "neighbour")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("vec_id", "rank", "neighbour", "cosine")
+
+    def search(queries: DataFrame, factor: float, margins: dict[str, float]) -> DataFrame:
+        both = rows.withColumn("radius", F.lit(None).cast("double")).unionByName(queries)
+        routed = both.mapInArrow(_query_router(_plan(trees, margins, block, every), factor), _ROUTED)
+        found = routed.groupBy("config_id", "leaf", "block", "part").applyInArrow(_nearest_in_group(k), "vec_id long, neighbour long, cosine double")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    first = search(asking.withColumn("radius", F.lit(0.0)), 1.0, dict.fromkeys(trees, 0.0))
+    kth = durable(first.where(F.col("rank") == k).select("vec_id", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("cosine"))).alias("radius")))
+    queries = asking.join(kth, "vec_id", "left").select("vec_id", "config_id", "embedding", "dimensions", F.coalesce("radius", F.lit(2.0)).alias("radius"))
+    return search(queries, max(1.0, factor), {c: r / max(1.0, factor) for c, (_, _, r, _) in trees.items()}).select("vec_id", "rank", "neighbour", "cosine")
