@@ -2,13 +2,13 @@
 
 Lines make the blocks: a blank line, and a line break before or after a heading or list line, end a unit. Inside a
 block every end mark is a candidate. Marks inside a quotation, brackets or code that is closed in its block are no
-boundaries themselves; what closes a sentence belongs to it; after a quotation the text goes on unless a new sentence
-visibly starts. Marks that a script uses for nothing else end a unit. A full stop is ambiguous, and is classified by a
-maximum-entropy model over the tokens around it, their case, length, inner stops, digits and the script.
+boundaries themselves; what closes a sentence belongs to it. Every other candidate, whatever its mark, is classified
+by a maximum-entropy model: over the kind of mark and what follows it (case, digits, script, punctuation), and for a
+full stop, which is the most ambiguous, also over the tokens around it, their length, inner stops and digits.
 
-The model is trained on reliable places only, of at most ``TRAINING_DOCS`` texts (those with the least hashes of
-their ids): a stop at the end of a paragraph or list line is a boundary, a stop before a lower-case letter or a comma
-is none. Tokens that are frequent and never end a paragraph give further reliable non-boundaries. A short list of
+The model is trained on reliable places only, of about ``TRAINING_DOCS`` texts (those with the least hashes of
+their ids, twice as many at most): a mark at the end of a paragraph or list line is a boundary, a mark before a
+lower-case letter or a comma is none. Tokens that are frequent and never end a paragraph give further reliable non-boundaries. A short list of
 abbreviations (``NEVER_LAST``) enters as one feature, so that a small table is served as well.
 
 Positions are 0-based half-open code points, without white space at the ends. Null and blank texts have no units; a
@@ -48,6 +48,7 @@ NUMBERED = re.compile(r"\s*\d{1,3}[.)]\s")
 PAIRS = {"“": "”", "«": "»", "„": "“”", "「": "」", "『": "』", "(": ")", "（": "）", "`": "`", '"': '"'}
 OPENING = re.compile(r"[“«„「『(（`\"]")
 FIXED = frozenset("。！？।۔؟።።។")
+TRAINED = re.compile(r"\.+(?=[\s\"'”’»)]|$)|[!?…]+|[。！？।۔؟።។]")
 GLUED = re.compile(r"[^\W\d_]{2,}\.[^\W\d_]")
 TOKEN_BEFORE = re.compile(r"\S+$")
 THAI_GAP = re.compile(r"(?<=[฀-๿])[  \t]+(?=[฀-๿])")
@@ -136,8 +137,18 @@ def normal(token: str) -> str:
     return _DIGITS.sub("9", token.lower().lstrip("([{“«„\"'¿¡`*#-"))
 
 
-def features(prev2: str, prev: str, shape: str, following: str, script: str) -> list[str]:
-    """Names of the features of a stop; prev is without the stop."""
+def kind_of(mark: str) -> str:
+    return "fixed" if mark in FIXED else "…" if mark in ".…" and mark != "." else "!" if mark in "!?" else mark
+
+
+def features(prev2: str, prev: str, shape: str, following: str, script: str, mark: str = ".") -> list[str]:
+    """Names of the features of a candidate; prev is the token before it, without the mark.
+
+    mark is the kind of the mark: a full stop, "!" (also ?), "…" (also ...), fixed (used for nothing else), close
+    (behind closing quotes or brackets), glued (no blank behind it) or ; (the Greek question mark).
+    """
+    if mark != ".":
+        return ["bias", f"s={shape}", f"m={mark}", f"m={mark} {shape}", f"m={mark} {script}", f"m={mark} n={following}", "", "", ""]
     bare = prev.rstrip(".")
     return [
         "bias",
@@ -152,22 +163,37 @@ def features(prev2: str, prev: str, shape: str, following: str, script: str) ->
     ]
 
 
-def _around(text: str, start: int, at: int, after: int, end: int) -> tuple[str, str, str, str, str]:
-    """The context of the stop at ``at`` inside a block; ``after`` is the first position behind its closers."""
-    head = text[max(start, at - 40) : at].split()
-    prev = normal(head[-1]) if head and not text[at - 1].isspace() else ""
-    prev2 = normal(head[-2]) if len(head) > 1 else "^"
-    tail = text[after : min(end, after + 40)].split(None, 1)
-    word = tail[0] if tail else ""
+_NEXT = re.compile(r"\s*(\S+)")
+
+
+def _token(text: str, start: int, at: int) -> int:
+    """Where the token that ends at ``at`` starts."""
+    while at > start and not text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _around(text: str, start: int, at: int, after: int, end: int, mark: str = ".") -> tuple[str, str, str, str, str, str]:
+    """The context of the mark at ``at`` inside a block; ``after`` is the first position behind its closers."""
+    prev = prev2 = ""
+    if mark == ".":
+        i = _token(text, start, at)
+        prev, prev2 = normal(text[i:at]), "^"
+        while i > start and text[i - 1].isspace():
+            i -= 1
+        if i > start:
+            prev2 = normal(text[_token(text, start, i) : i])
+    tail = _NEXT.match(text, after, end)
+    word = tail[1] if tail else ""
     c = word[:1]
     if c in "“«„\"'(（「『¿¡‘`" and len(word) > 1 and c:
         c2 = word[1:2]
         shape = "open" if not c2.islower() else "low" if c in "(`'" else "open"
     else:
         shape = _shape(c)
-    following = word.strip(".,;:!?\"“”„«»()[]").lower() if len(word) < 16 else ""
+    following = word.strip(".,;:!?\"“”„«»()[]").lower()
     last = text[at - 1] if at > start else ""
-    return prev2, prev, shape, _DIGITS.sub("9", following), _script(last)
+    return prev2, prev, shape, _DIGITS.sub("9", following), _script(last), mark
 
 
 class Boundaries:
@@ -187,8 +213,11 @@ class Boundaries:
         return held
 
 
-#: What is believed before any training, as weights of the shape and abbreviation features.
-PRIOR = {"s=low": -6.0, "s=mid": -6.0, "s=up": 1.5, "s=open": 1.5, "s=num": 0.0, "s=let": 1.5, "s=end": 4.0, "s=sym": 0.5, "abbr=True up": -5.0, "abbr=True let": -5.0, "abbr=True num": -3.0, "abbr=True open": -4.0, "bias": 0.5}
+#: What is believed before any training, as weights of the shape, abbreviation and mark features.
+PRIOR = {
+    "s=low": -6.0, "s=mid": -6.0, "s=up": 1.5, "s=open": 1.5, "s=num": 0.0, "s=let": 1.5, "s=end": 4.0, "s=sym": 0.5, "abbr=True up": -5.0, "abbr=True let": -5.0, "abbr=True num": -3.0, "abbr=True open": -4.0, "bias": 0.5,
+    "m=!": 4.0, "m=…": 4.0, "m=fixed": 4.0, "m=fixed low": 8.0, "m=close": 4.0, "m=close mid": 7.0, "m=glued": 6.0, "m=;": 4.0, "m=; mid": 7.0, "m=! mid": 3.0,
+}
 
 
 def train(texts: list[str], rounds: int = 12, rate: float = 0.4, decay: float = 1e-4) -> Boundaries:
@@ -205,19 +234,23 @@ def train(texts: list[str], rounds: int = 12, rate: float = 0.4, decay: float =
         for start, end, listed in blocks(text):
             stripped = len(text[start:end].rstrip()) + start
             if not listed or not HEADING.match(text[start:end]):
-                words = text[start : start + 40].split()
-                words = words[1:] if listed else words
-                if words:
-                    c = words[0][:1]
-                    starts.append((_shape(c), _DIGITS.sub("9", words[0].strip(".,;:!?\"“”„«»()[]").lower())))
-            for m in re.finditer(r"\.(?=[\s\"'”’»)]|$)", text[start:end]):
-                at = start + m.start()
-                if at + 1 < stripped and text[at + 1] == ".":
-                    continue
-                after = at + 1
+                first = _NEXT.match(text, start, end)
+                first = _NEXT.match(text, first.end(), end) if listed and first else first
+                if first:
+                    starts.append((_shape(first[1][:1]), _DIGITS.sub("9", first[1].strip(".,;:!?\"“”„«»()[]").lower())))
+            for m in TRAINED.finditer(text, start, end):
+                at, after = m.start(), m.end()
                 while after < stripped and text[after] in CLOSERS:
                     after += 1
-                context = _around(text, start, at, after, stripped)
+                mark = "…" if m.end() - at > 1 and text[at] == "." else kind_of(text[at])
+                context = _around(text, start, at, after, stripped, mark)
+                if mark != ".":
+                    if after >= stripped and starts:
+                        shape, word = starts[(len(reliable) * 7919) % len(starts)]
+                        reliable.append(((*context[:2], shape, word, *context[4:]), 1))
+                    elif context[2] == "low" and mark in "!…":
+                        reliable.append((context, 0))
+                    continue
                 if not context[1]:
                     continue
                 bare = context[1].rstrip(".")
@@ -235,7 +268,7 @@ def train(texts: list[str], rounds: int = 12, rate: float = 0.4, decay: float =
     base = sum(last.values()) / max(1, sum(seen.values()))
     for i, c in enumerate(finals):  # what follows a reliable boundary is how some paragraph starts
         shape, word = starts[(i * 7919) % len(starts)] if starts else ("up", "")
-        reliable.append(((c[0], c[1], shape, word, c[4]), 1))
+        reliable.append(((c[0], c[1], shape, word, c[4], "."), 1))
     for c in open_:
         bare = c[1].rstrip(".")
         pair = f"{c[0]} {bare}"
@@ -305,7 +338,8 @@ def _block_ends(text: str, start: int, end: int, model: Boundaries) -> list[int]
         if mark == ";":
             if not gap or _script(text[at - 1] if at > start else "") != "G" or first.islower():
                 continue
-            out.append(after)
+            if model.ends(_around(text, start, at, after, end, ";")):
+                out.append(after)
             continue
         if close >= 0 or (after > at + 1 and text[after - 1] in CLOSERS):
             # a sentence ends in a closing mark: the text goes on in lower case, after a comma, or with an attribution
@@ -315,31 +349,28 @@ def _block_ends(text: str, start: int, end: int, model: Boundaries) -> list[int]
                 continue
             if text[after - 1] in ")）" and mark == "." and not _whole_bracket(text, spans, k, start):
                 continue
-            out.append(after)
+            if model.ends(_around(text, start, at, after, end, "close")):
+                out.append(after)
             continue
         if mark in FIXED:
             if first in ",;:)）、，" or first in "」』”»":
                 continue
-            out.append(after)
+            if model.ends(_around(text, start, at, after, end, "fixed")):
+                out.append(after)
             continue
         if not gap:
             # no blank behind the mark: only between a word and a capitalised word
-            word = text[max(start, at - 30) : at].split()
-            token = word[-1] if word else ""
-            tail = text[after : after + 24].split()
-            rest = tail[0] if tail else ""
-            if mark in ".!?" and after == at + 1 and first.isupper() and len(token) > 1 and token.isalpha() and token[-1].islower() and token[1:].islower() and rest[1:2].islower() and rest.rstrip(".,;:!?)").isalpha():
-                out.append(after)
-            elif mark in "!?" and ord(first) > 0x2E7F:
+            token = text[_token(text, start, at) : at]
+            rest = _NEXT.match(text, after, end)[1]
+            apart = mark in ".!?" and after == at + 1 and first.isupper() and len(token) > 1 and token.isalpha() and token[-1].islower() and token[1:].islower() and rest[1:2].islower() and rest.rstrip(".,;:!?)").isalpha()
+            if (apart or (mark in "!?" and ord(first) > 0x2E7F)) and model.ends(_around(text, start, at, after, end, "glued")):
                 out.append(after)
             continue
-        if first.islower() or first in ",;:)]–—-%»":
+        if first.islower() or first in ",;:)]–—-%»":  # no candidate, but for a dash that opens speech
             if not (first in "-–—" and text[skip + 1 : skip + 2].isspace() is False and mark in "!?"):
                 continue
-        if mark == "." and after == at + 1:
-            if model.ends(_around(text, start, at, after, end)):
-                out.append(after)
-        else:
+        kind = "." if mark == "." and after == at + 1 else "…" if mark in ".…" else kind_of(mark)
+        if model.ends(_around(text, start, at, after, end, kind)):
             out.append(after)
     return out
 
