@@ -2,7 +2,8 @@
 
 Balanced targets. The least number of pieces that can hold the text is computed, that many equal targets are laid
 over it, and each is moved to the strongest boundary near it (blank line, line break, sentence end, clause mark,
-blank); where a move would break the size limit of a piece, one piece more is planned and all targets are laid again.
+blank), or to the nearest boundary within all that the limit allows if none is near; where a move would break the size
+limit of a piece, one piece more is planned and all targets are laid again.
 
 A piece has fewer code points than the size, and begins exactly ``overlap`` code points before the end of the one
 before it. Texts are taken without blanks, tabs and line breaks at their ends; positions count from there.
@@ -48,7 +49,7 @@ def overlap_chars(size: int, overlap: float | None) -> int:
 
 
 def _snap(text: str, target: int, low: int, high: int) -> int:
-    """The end of the strongest boundary in (low, high], of equal ones the nearest to target."""
+    """The end of the strongest boundary in (low, high], of equal ones the nearest to target; -1 if there is none."""
     window = text[low:high]
     for pattern in BOUNDARIES:
         best, gap = -1, high - low + 1
@@ -58,6 +59,10 @@ def _snap(text: str, target: int, low: int, high: int) -> int:
                 best, gap = at, abs(at - target)
         if best >= 0:
             return best
+    return -1
+
+
+def _between_characters(text: str, target: int, low: int, high: int) -> int:
     at = min(max(target, low + 1), high)
     while at > low + 1 and (unicodedata.combining(text[at]) or text[at] in "‍️"):
         at -= 1
@@ -76,16 +81,19 @@ def cut(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
         ends, start, ok = [], 0, True
         for i in range(1, count):
             target = round(overlap + share * i)
-            low = max(start + overlap, target - reach)
-            high = min(start + limit, target + reach, total - 1)
             # what is left must still fit into the pieces that remain
-            low = max(low, total - (count - i) * step - overlap)
+            least, most = max(start + overlap, total - (count - i) * step - overlap), min(start + limit, total - 1)
+            low, high = max(least, target - reach), min(most, target + reach)
             if low >= high:
                 if high <= start + overlap or total - high > (count - i) * step + overlap:
                     ok = False
                     break
                 low = high - 1
             end = _snap(text, target, low, high)
+            if end < 0 and least < most:
+                end = _snap(text, target, least, most)
+            if end < 0:
+                end = _between_characters(text, target, low, high)
             if end <= start + overlap:
                 ok = False
                 break

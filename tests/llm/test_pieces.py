@@ -63,3 +63,9 @@ def test_empty_tables(spark):
     texts = spark.createDataFrame([], "rid string, updated_at int, search_text string")
     conf = spark.createDataFrame([], "config_id string, chunk_size int, chunk_overlap double")
     assert pieces.split_oversized(texts, conf).count() == 0
+
+
+def test_a_boundary_outside_the_near_window_is_used():
+    text = "x" * 180 + " " + "y" * 240
+    for a, b in pieces.cut(text, 260, 0)[:-1]:
+        assert text[b - 1] == " " or text[b : b + 1] == " ", (a, b)
