@@ -30,6 +30,8 @@ from quillmesh.runtime import durable
 BINS = 4096
 #: Rounds of raking; sources are always raked last.
 ROUNDS = 60
+#: Cells (source, language, topic) that the driver rakes at most; topics are meant to be few.
+CELLS = 200_000
 
 
 def language(lang: Column) -> Column:
@@ -99,7 +101,8 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
     """``(doc_id, source, copies, n_tokens)`` of every drawn document.
 
     To the driver come: the targets, one row per cell (listed sources x two-letter languages x topics), and one
-    histogram row per listed source and bin. None of these grows with the documents.
+    histogram row per listed source and bin. None of these grows with the documents; more than ``CELLS`` cells, which
+    can only come from a topic that is no bounded set, raise an error.
     """
     docs = counted(documents, targets, topic, path)
     return _draw(docs, targets, total, seed)
@@ -108,7 +111,9 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
 def _draw(docs: DataFrame, targets: DataFrame, total: float | None, seed: int) -> DataFrame:
     spark = docs.sparkSession
     goal = _clean_targets(targets).toPandas()
-    cells = docs.where("n_tokens > 0").groupBy("source", "lang_key", "topic").agg(F.sum("n_tokens").alias("tokens")).withColumnRenamed("lang_key", "lang").toPandas()
+    cells = docs.where("n_tokens > 0").groupBy("source", "lang_key", "topic").agg(F.sum("n_tokens").alias("tokens")).withColumnRenamed("lang_key", "lang").limit(CELLS + 1).toPandas()
+    if len(cells) > CELLS:
+        raise ValueError(f"more than {CELLS} cells of source, language and topic; give a topic of fewer values")
     fitted = rake(cells, goal, total)
     fitted["base"] = np.floor(fitted["weight"] + 1e-12)
     fitted["part"] = (fitted["weight"] - fitted["base"]).clip(lower=0.0)

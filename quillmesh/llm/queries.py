@@ -73,6 +73,12 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p8_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Per listed source: whether anything is drawn of it, and whether no document is drawn too often."""
+    got = p8_shares(spark, d)
+    return got.select("source", (F.col("documents") > 0).alias("drawn"), (F.col("most_repeats") <= F.col("max_repeats")).alias("within_cap"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 
@@ -82,5 +88,5 @@ def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_pieces, p3_found, p3_turns, p4_found, p4_trees, p5_found, p5_entities, p6_found, p6_shares, p7_ids, p8_mix, p8_shares, p9_found, p9_sentences)
+    f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_pieces, p3_found, p3_turns, p4_found, p4_trees, p5_found, p5_entities, p6_found, p6_shares, p7_ids, p8_mix, p8_shares, p8_bounds, p9_found, p9_sentences)
 }

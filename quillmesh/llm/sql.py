@@ -15,6 +15,9 @@ WHERE list_cosine_similarity(a.e, b.e) >= 0.9""",
 WITH {CURRENT}
 SELECT rid, config_id FROM cur, embedding_configs
 WHERE length(trim(search_text, E' \\t\\n\\r')) > chunk_size""",
+    "p8_bounds": """
+WITH t AS (SELECT source, max(coalesce(target_share, 0)) AS share, max(coalesce(max_repeats, 0)) AS cap FROM mix_targets WHERE source IS NOT NULL GROUP BY source)
+SELECT source, share > 0 AND cap > 0 AND source IN (SELECT source FROM documents WHERE length(text) > 0 AND source IS NOT NULL) AS drawn, true AS within_cap FROM t""",
     "p4_found": f"""
 WITH {CURRENT},
 m AS (

@@ -107,3 +107,16 @@ def test_alignment():
     whole = text(900, 901, 902)
     assert cutoff.ends_early(whole[:120], whole) and not cutoff.ends_early(whole, whole) and not cutoff.ends_early(whole, whole[:100])
     assert not cutoff.ends_early("", whole) and not cutoff.ends_early(text(950), whole)
+
+
+def test_a_long_open_quotation_and_long_words():
+    text_ = "He wrote “" + text(*range(20)) + " Nothing in the cursor"
+    assert len(text_) > 1000 and cutoff.closing(text_)[0]
+    assert cutoff.closing("see " + "ab" * 400)[1] == "ab" * 400
+
+
+def test_the_classifier_of_endings():
+    known = np.asarray([[6.0, 0.0, 1, 1]] * 200 + [[0.0, 0.0, 0, 1]] * 2000 + [[0.0, -4.0, 1, 1]] * 60)
+    bias, longer, closing = cutoff.fit_endings(known)
+    assert bias + 6 * longer > 0 > bias and bias + 4 * closing > 0
+    assert tuple(cutoff.fit_endings(np.empty((0, 4)))) == cutoff.PRIOR

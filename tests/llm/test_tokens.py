@@ -42,3 +42,9 @@ def test_table(spark):
     assert got[1:3] == [(1, []), (2, [])] and got[3] == got[4] and len(got[3][1]) > 3
     assert [r.n_tokens for r in tokens.token_counts(df.where("doc_id = 2")).collect()] == [0]
     assert tokens.token_ids(df.limit(0)).count() == 0
+
+
+def test_all_texts_of_a_table_equal_plain_encoding(spark, small_dir, reference):
+    docs = spark.read.parquet(f"{small_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id: reference(r.text) if r.text else [] for r in docs.collect()}
+    assert {r.doc_id: list(r.ids) for r in tokens.token_ids(docs).collect()} == want and len(want) > 900
