@@ -112,7 +112,7 @@ def test_alignment():
 def test_a_long_open_quotation_and_long_words():
     text_ = "He wrote “" + text(*range(20)) + " Nothing in the cursor"
     assert len(text_) > 1000 and cutoff.closing(text_)[0]
-    assert cutoff.closing("see " + "ab" * 400)[1] == "ab" * 400
+    assert cutoff.closing("see " + "ab-" * 400 + "ab")[1] == "ab-" * 400 + "ab"
 
 
 def test_the_classifier_of_endings():
