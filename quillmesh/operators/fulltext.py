@@ -1,6 +1,7 @@
 """Full-text search on a table of postings (lexeme, rid, tf, positions), with the web query syntax.
 
-Postings are built once per corpus and shared by all queries; a query touches only the postings of its own words.
+Postings are built once per corpus and shared by all queries, kept as a table in order of their lexemes with the
+frequency of each; a query reads only the row groups that hold its own words.
 Scores are BM25. Words are lower-case runs of letters and digits.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillmesh.functions.text import tokens
-from quillmesh.runtime import stored
+from quillmesh.runtime import kept, shuffle_partitions, stored
 
 K1, B = 1.2, 0.75
 
@@ -67,6 +68,19 @@ def postings(docs: DataFrame, key: str = "rid", text: str = "search_text") -> Da
     return spread.groupBy("lexeme", key).agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("_p")).alias("positions"), F.first("size").alias("size"))
 
 
+def stored_index(docs: DataFrame, key: str = "rid", text: str = "search_text", label: str = "namespace") -> tuple[DataFrame, DataFrame]:
+    """The postings of a corpus (lexeme, key, tf, positions, size, df, label) in order of lexemes, and the one row of
+    ``corpus_size``, both made once per state of the corpus (``runtime.kept``) and shared by all later queries."""
+
+    def build() -> DataFrame:
+        made = postings(docs, key, text)
+        df = made.groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"))
+        rows = made.join(df, "lexeme").join(docs.select(key, label), key)
+        return rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "lexeme", F.xxhash64(key)).sortWithinPartitions("lexeme", key)
+
+    return kept(docs, "postings", build), kept(docs, "corpus", lambda: corpus_size(docs, text))
+
+
 def frequencies(docs: DataFrame, key: str = "rid", text: str = "search_text") -> DataFrame:
     """``(lexeme, key, tf, size)``: postings without positions, which is all that ranking needs."""
     spread = _words(docs, key, text).select(key, F.size("words").alias("size"), F.explode("words").alias("lexeme"))
@@ -107,14 +121,18 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
-def search(index: DataFrame, size: DataFrame, query: str, key: str = "rid") -> DataFrame:
-    """``(key, rank)`` of the texts that match a web query. ``size`` is the one row of ``corpus_size``."""
+def search(index: DataFrame, size: DataFrame, query: str, key: str = "rid", where: Column | None = None) -> DataFrame:
+    """``(key, rank)`` of the texts that match a web query. ``size`` is the one row of ``corpus_size``; ``where`` is a
+    condition on further columns of a stored index, such as its namespace, and doesn't change the ranks."""
     wanted = parse_query(query)
     if not wanted.groups:
         return index.select(key, F.lit(0.0).alias("rank")).limit(0)
     hits = index.where(F.col("lexeme").isin(wanted.words))
-    df = hits.groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(F.broadcast(df), "lexeme").crossJoin(F.broadcast(size))  # as many rows as the query has words; one row
+    if "df" not in hits.columns:
+        df = hits.groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"))
+        hits = hits.join(F.broadcast(df), "lexeme")  # as many rows as the query has words
+    hits = hits if where is None else hits.where(where)
+    scored = hits.crossJoin(F.broadcast(size))  # one row
     plain = sorted({w for g in wanted.groups for p in g for w in p})
     score = F.when(F.col("lexeme").isin(plain), bm25(F.col("tf"), F.col("size"), F.col("df"), F.col("docs"), F.col("mean"))).otherwise(0.0)
     by_doc = scored.groupBy(key).agg(F.sum(score).alias("rank"), F.map_from_entries(F.collect_list(F.struct("lexeme", "positions"))).alias("at"))
@@ -130,9 +148,10 @@ def search_many(index: DataFrame, size: DataFrame, queries: DataFrame, most: int
     """
     words = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("w")).where(F.size("w") > 0)
     asked = words.select("query_id", F.size("w").alias("wanted"), F.explode("w").alias("lexeme"))
-    hits = index.select("lexeme", key, "tf", "size").join(asked.select("lexeme").distinct(), "lexeme", "left_semi")
-    df = hits.groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(df, "lexeme").crossJoin(F.broadcast(size)).select("lexeme", key, bm25(F.col("tf"), F.col("size"), F.col("df"), F.col("docs"), F.col("mean")).alias("s"))  # one row
+    known = [c for c in ("df",) if c in index.columns]
+    hits = index.select("lexeme", key, "tf", "size", *known).join(asked.select("lexeme").distinct(), "lexeme", "left_semi")
+    df = hits.groupBy("lexeme").agg(F.max("df").alias("df") if known else F.count(F.lit(1)).alias("df"))
+    scored = hits.drop("df").join(df, "lexeme").crossJoin(F.broadcast(size)).select("lexeme", key, bm25(F.col("tf"), F.col("size"), F.col("df"), F.col("docs"), F.col("mean")).alias("s"))  # one row
     plan = asked.join(df, "lexeme").groupBy("query_id", "wanted").agg(F.array_sort(F.collect_list(F.struct("df", "lexeme"))).alias("by"))  # as many words as a query has
     plan = plan.where(F.size("by") == F.col("wanted")).select("query_id", F.transform("by", lambda x: x["lexeme"]).alias("by"))
     first = plan.select("query_id", "by", F.col("by")[0].alias("lexeme")).join(scored, "lexeme")

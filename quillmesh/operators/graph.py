@@ -71,18 +71,22 @@ def find_seeds(nodes: DataFrame, terms: list[str], most: int = 10) -> DataFrame:
     return exact.unionByName(ranked.select("term", "node")).select("node").distinct()
 
 
-def folder_paths(items: DataFrame, depth: int = 20) -> DataFrame:
+def folder_paths(items: DataFrame, depth: int | None = None) -> DataFrame:
     """``(id, path)`` of (id, parent, title) rows: titles from the root down; a walk that comes back to a node ends.
 
-    Doubles nothing: one equi-join per level, and only rows whose walk goes on are joined again.
+    One equi-join per level, until no walk goes on (``depth`` levels at most, if given); only rows whose walk goes on
+    are joined again, and each level is written to the shared folder.
     """
     names = items.select(F.col("id").alias("p_id"), F.col("parent").alias("p_parent"), F.col("title").alias("p_title"))
     walk = items.select("id", F.col("parent").alias("next"), F.array(F.coalesce("title", F.lit(""))).alias("titles"), F.array("id").alias("seen"))
-    done = None
-    for _ in range(depth):
-        joined = walk.join(names, (walk["next"] == names["p_id"]) & ~F.array_contains(walk["seen"], walk["next"]), "left")
+    done, level = None, 0
+    while depth is None or level < depth:
+        joined = durable(walk.join(names, (walk["next"] == names["p_id"]) & ~F.array_contains(walk["seen"], walk["next"]), "left"))
         ended = joined.where("p_id is null").select("id", "titles")
         done = ended if done is None else done.unionByName(ended)
         walk = joined.where("p_id is not null").select("id", F.col("p_parent").alias("next"), F.concat(F.array(F.coalesce("p_title", F.lit(""))), F.col("titles")).alias("titles"), F.concat(F.col("seen"), F.array("p_id")).alias("seen"))
-    done = done.unionByName(walk.select("id", "titles"))
+        level += 1
+        if walk.isEmpty():
+            break
+    done = walk.select("id", "titles") if done is None else done.unionByName(walk.select("id", "titles"))
     return done.select("id", F.concat(F.lit("/"), F.array_join("titles", "/")).alias("path"))

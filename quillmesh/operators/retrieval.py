@@ -77,12 +77,31 @@ def reciprocal_rank_fusion(*runs: DataFrame, constant: int = RANK_CONSTANT) -> D
 
 
 def with_entity_bonus(hits: DataFrame, by_entity: DataFrame) -> DataFrame:
-    """Hits (rid, pos, score) and texts of a query's entities (rid, entity_pos), the latter raised by 0.01 / place."""
+    """Hits (rid, pos, score) and texts of a query's entities (rid, entity_pos), the latter raised by 0.01 / place; a
+    hit without a score counts 1 / (60 + place), a text that is no hit has nothing but its bonus."""
     both = hits.join(by_entity, "rid", "full_outer")
-    base = F.coalesce("score", F.lit(1.0) / (RANK_CONSTANT + F.coalesce("pos", F.col("entity_pos"))))
+    base = F.coalesce("score", F.lit(1.0) / (RANK_CONSTANT + F.col("pos")), F.lit(0.0))
     return both.select("rid", F.round(base + F.coalesce(F.lit(ENTITY_BONUS) / F.col("entity_pos"), F.lit(0.0)), 9).alias("score"))
 
 
+#: Hits that are reranked, and the lengths over which a chunk or a headline stands for its text.
+POOL, LEAST_CHUNK, LEAST_HEADLINE = 50, 10, 20
+
+
+def passages(chunk_text: Column, headline: Column, first_chunk: Column) -> Column:
+    """What a hit is reranked by: its chunk, else its headline, else the first chunk of its text."""
+    return F.when(F.length(chunk_text) > LEAST_CHUNK, chunk_text).when(F.length(headline) > LEAST_HEADLINE, headline).otherwise(first_chunk)
+
+
+def routed(route: str, fts: DataFrame, near: DataFrame | None, most: int = 20) -> DataFrame:
+    """``(rid, score)`` of a query by its route: full text alone for keywords and where there is no vector (``near`` is
+    None), else the convex combination with the weight of the route."""
+    alpha = ALPHA[route]
+    if near is None or alpha >= 1.0 and route == "keyword":
+        return fts.select("rid", F.col("rank").alias("score")).orderBy(F.desc("score"), "rid").limit(most)
+    return fuse(fts, near, alpha).select("rid", F.round("score", 8).alias("score")).orderBy(F.desc("score"), "rid").limit(most)
+
+
 def sample_chunks(chunks: Column, most: int = 5) -> Column:
     """First, last and evenly spaced chunks, at most so many."""
     n = F.size(chunks)

@@ -4,29 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmesh.functions import text as T
 from quillmesh.functions import vectors as V
 from quillmesh.operators import entities, fulltext, graph, retrieval
 from quillmesh.plans.registry import query
 from quillmesh.plans.relational import current
-from quillmesh.runtime import durable, stored, table
+from quillmesh.runtime import durable, table
 
 QUERY = "partial mirror archive"
 PHRASE = '"left the" mirror or digest -gardener'
 
 _TOK = r"list_filter(regexp_split_to_array(lower(search_text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
-_BM25 = f"""{{CUR}}, t AS (SELECT rid, {_TOK} AS w FROM cur WHERE search_text IS NOT NULL), t2 AS (SELECT * FROM t WHERE len(w) > 0),
-    c AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM t2), q AS (SELECT unnest(['partial', 'mirror', 'archive']) AS lexeme),
+def _bm25(words: str, name: str = "fts") -> str:
+    asked = ", ".join(f"'{w}'" for w in words.split())
+    return f"""{{CUR}}, t AS (SELECT rid, {_TOK} AS w FROM cur WHERE search_text IS NOT NULL), t2 AS (SELECT * FROM t WHERE len(w) > 0),
+    c AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM t2), q AS (SELECT unnest([{asked}]) AS lexeme),
     p AS (SELECT rid, lexeme, len(list_filter(w, lambda x: x = lexeme)) AS tf, len(w) AS size FROM t2, q), h AS (SELECT * FROM p WHERE tf > 0), df AS (SELECT lexeme, count(*) AS df FROM h GROUP BY lexeme),
-    fts AS (SELECT rid, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS rank FROM h JOIN df USING (lexeme), c GROUP BY rid HAVING count(*) = 3)"""
+    {name} AS (SELECT rid, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS rank FROM h JOIN df USING (lexeme), c GROUP BY rid HAVING count(*) = {len(words.split())})"""
+
+
+_BM25 = _bm25(QUERY)
 _VEC = """q0 AS (SELECT c.embedding AS qv FROM chunk_embeddings c JOIN embedding_configs g USING (config_id) WHERE g.is_default AND c.embedding IS NOT NULL AND len(c.embedding) = g.dimensions AND len(list_filter(c.embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(c.embedding, lambda x: x <> 0)) > 0 ORDER BY vec_id LIMIT 1),
     v AS (SELECT c.* FROM chunk_embeddings c JOIN embedding_configs g USING (config_id) WHERE g.is_default AND c.embedding IS NOT NULL AND len(c.embedding) = g.dimensions AND len(list_filter(c.embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(c.embedding, lambda x: x <> 0)) > 0),
     s AS (SELECT rid, vec_id, chunk_index, chunk_text, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), 6) AS similarity FROM v, q0 ORDER BY similarity DESC, rid, chunk_index, vec_id LIMIT {n}),
     near AS (SELECT rid, similarity FROM s QUALIFY row_number() OVER (PARTITION BY rid ORDER BY similarity DESC, chunk_index, vec_id) = 1 ORDER BY similarity DESC, rid LIMIT {m})"""
 
 
-def _fts(spark, d, text=QUERY):
-    docs = fulltext.tokenised(current(spark, d, "search_text").select("rid", "search_text"))
-    return fulltext.search(fulltext.postings(docs), fulltext.corpus_size(docs), text)
+def index_of(spark, d):
+    """The stored full-text index of the current texts."""
+    return fulltext.stored_index(current(spark, d, "search_text", "namespace").select("rid", "search_text", "namespace"))
+
+
+def _fts(spark, d, text=QUERY, where=None):
+    return fulltext.search(*index_of(spark, d), text, where=where)
 
 
 def _near(spark, d, most):
@@ -36,11 +46,40 @@ def _near(spark, d, most):
     return retrieval.semantic_search(v.crossJoin(F.broadcast(q)), F.col("qv"), most)  # one row
 
 
+@query("ret01_index", f"WITH {{CUR}}, t AS (SELECT {_TOK} AS w FROM cur WHERE search_text IS NOT NULL), x AS (SELECT unnest(w) AS lexeme FROM t) SELECT (SELECT count(*) FROM t WHERE len(w) > 0) AS docs, (SELECT count(DISTINCT lexeme) FROM x) AS lexemes, (SELECT count(*) FROM x) AS words")
+def ret01_index(spark, d):
+    """Builds the stored index, unless it stands for these files already, and sums it up."""
+    index, size = index_of(spark, d)
+    return index.groupBy("lexeme").agg(F.sum("tf").alias("tf")).agg(F.count(F.lit(1)).alias("lexemes"), F.sum("tf").alias("words")).crossJoin(F.broadcast(size.select("docs")))  # one row
+
+
 @query("ret01_fulltext_search", f"WITH {_BM25} SELECT rid, round(rank, 5) AS rank FROM fts ORDER BY round(rank, 5) DESC, rid LIMIT 20")
 def ret01(spark, d):
     return _fts(spark, d).select("rid", F.round("rank", 5).alias("rank")).orderBy(F.desc("rank"), "rid").limit(20)
 
 
+@query("ret01_namespace_search", f"WITH {_BM25} SELECT rid, round(rank, 5) AS rank FROM fts JOIN cur USING (rid) WHERE namespace LIKE '%-journal' ORDER BY round(rank, 5) DESC, rid LIMIT 20")
+def ret01_namespace(spark, d):
+    """The same within one kind of texts."""
+    hits = _fts(spark, d, where=F.col("namespace").endswith("-journal"))
+    return hits.select("rid", F.round("rank", 5).alias("rank")).orderBy(F.desc("rank"), "rid").limit(20)
+
+
+KEYWORDS = "mirror archive"
+
+
+@query(
+    "ret05_routed_search",
+    f"""WITH {_bm25(KEYWORDS)} SELECT '{KEYWORDS}' AS query, 'keyword' AS route, rid, round(rank, 5) AS score FROM fts ORDER BY score DESC, rid LIMIT 20""",
+)
+def ret05_routed(spark, d):
+    """A query of two words goes to the full text alone; tests run the other routes and the case without vectors."""
+    route = spark.range(1).select(T.route(F.lit(KEYWORDS)).alias("r")).first().r
+    f = _fts(spark, d, KEYWORDS).select("rid", F.round("rank", 5).alias("rank"))
+    hits = retrieval.routed(route, f, _near(spark, d, 60) if route != "keyword" else None)
+    return hits.select(F.lit(KEYWORDS).alias("query"), F.lit(route).alias("route"), "rid", "score")
+
+
 @query(
     "ret01_matches",
     f"""WITH {{CUR}}, t AS (SELECT rid, ' ' || array_to_string({_TOK}, ' ') || ' ' AS s FROM cur WHERE search_text IS NOT NULL)
@@ -66,8 +105,7 @@ def ret01_batch(spark, d):
     """Every plan's title as a query over all texts, in one pass."""
     b = current(spark, d, "namespace", "search_text", "contents")
     queries = b.where(F.col("namespace").endswith("-plan")).select(F.col("rid").alias("query_id"), F.get_json_object("contents", "$.title").alias("query")).where("query is not null")
-    docs = fulltext.tokenised(b.select("rid", "search_text"))
-    return fulltext.search_many(stored(fulltext.frequencies(docs)), fulltext.corpus_size(docs), queries).select("query_id", "rid", "pos")
+    return fulltext.search_many(*index_of(spark, d), queries).select("query_id", "rid", "pos")
 
 
 @query("ret01_postings", f"WITH {{CUR}}, t AS (SELECT rid, unnest({_TOK}) AS lexeme FROM cur WHERE search_text IS NOT NULL) SELECT lexeme, count(DISTINCT rid) AS df, count(*) AS tf FROM t GROUP BY lexeme")
@@ -115,11 +153,20 @@ def ret_rrf(spark, d):
     return retrieval.reciprocal_rank_fusion(f, n)
 
 
+def hybrid_pool(spark, d, most: int):
+    """The best hybrid hits with the chunk that the vector search found, where it did."""
+    f = _fts(spark, d).select("rid", F.round("rank", 5).alias("rank")).orderBy(F.desc("rank"), "rid").limit(3 * most)
+    return retrieval.fuse(f, _near(spark, d, 3 * most), retrieval.ALPHA["hybrid"]).withColumn("score", F.round("score", 8)).orderBy(F.desc("score"), "rid").limit(most)
+
+
 @query("ret08_rerank")
 def ret08(spark, d):
-    """The hybrid hits in the order of the registered reranker that needs no model."""
-    hits = ret03(spark, d).join(current(spark, d, "search_text").select("rid", "search_text"), "rid")
-    return retrieval.rerank(hits, retrieval.RERANKERS.create("overlap", QUERY), F.col("search_text"), 10).select("rid", "rerank_score")
+    """The fifty best hybrid hits in the order of the registered reranker that needs no model, each by its chunk, its
+    headline or its first chunk. Headlines have no SQL; tests compare the passages."""
+    hits = hybrid_pool(spark, d, retrieval.POOL).join(current(spark, d, "search_text").select("rid", "search_text"), "rid")
+    marked = hits.select("rid", "chunk_text", "search_text", fulltext.headline(F.col("search_text"), QUERY.split()).alias("headline"))
+    passage = retrieval.passages(F.col("chunk_text"), F.col("headline"), F.get(T.chunks(F.col("search_text")), F.lit(0)))
+    return retrieval.rerank(marked, retrieval.RERANKERS.create("overlap", QUERY), passage, 10).select("rid", "rerank_score")
 
 
 @query("ret12_default_config", "SELECT config_id FROM embedding_configs ORDER BY is_default DESC, created_at, config_id LIMIT 1")
@@ -207,16 +254,67 @@ def grf03(spark, d):
     return graph.pagerank(e, seed, rounds=10, epsilon=0.0).select("node", F.round("score", 6).alias("score"))
 
 
-@query("grf04_rank_sources")
-def grf04(spark, d):
-    """PageRank over the graph of entities that share texts, from one entity, then the texts of the best entities.
+def walk_sql(seeds: str, rounds: int, nodes: int = 50) -> str:
+    """Common table expressions of a personalised PageRank over the links between entities and texts from ``seeds`` (a
+    query of column node), ending in ent (rid, score)."""
+    steps = ", ".join(
+        f"w{i} AS (SELECT n.node, 0.15 * n.base + 0.85 * coalesce(g.came, 0) AS score, n.base FROM w{i - 1} n LEFT JOIN (SELECT f.dst, sum(p.score * f.share) AS came FROM w{i - 1} p JOIN f ON f.src = p.node GROUP BY f.dst) g ON g.dst = n.node)" for i in range(1, rounds + 1)
+    )
+    return f"""l0 AS (SELECT rid, 'e' || entity_id AS e, CASE WHEN coalesce(confidence, 0) = 0 THEN 1.0 ELSE confidence END AS w FROM bundle_entities), e0 AS (SELECT e AS src, rid AS dst, w FROM l0 UNION ALL SELECT rid, e, w FROM l0), e1 AS (SELECT src, dst, sum(w) AS w FROM e0 GROUP BY 1, 2),
+    tt AS (SELECT src, sum(w) AS total FROM e1 GROUP BY src), f AS (SELECT src, dst, w / total AS share FROM e1 JOIN tt USING (src)), nn AS (SELECT DISTINCT src AS node FROM e1), sd AS (SELECT node FROM nn WHERE node IN ({seeds})),
+    w0 AS (SELECT node, b AS score, b AS base FROM (SELECT node, CASE WHEN node IN (SELECT node FROM sd) THEN 1.0 / (SELECT count(*) FROM sd) ELSE 0.0 END AS b FROM nn)), {steps},
+    top AS (SELECT node, round(score, 12) AS score FROM w{rounds} WHERE node LIKE 'e%' AND node NOT LIKE '%:%' AND round(score, 12) > 0 ORDER BY round(score, 12) DESC, node LIMIT {nodes}),
+    ent AS (SELECT l0.rid, max(top.score) AS score FROM l0 JOIN top ON top.node = l0.e GROUP BY l0.rid)"""
+
+
+ROUNDS = 10
+
 
-    Entities and texts are the two kinds of nodes of one graph of links, so no pairs of entities are made.
+def sources_by_rank(spark, d, seeds, most: int = 20):
+    """Texts by the PageRank of their entities over the graph of links, from seeds (node).
+
+    Entities and texts are the two kinds of nodes of one graph, so no pairs of entities are made.
     """
     links = table(spark, d, "bundle_entities").select("rid", F.concat(F.lit("e"), F.col("entity_id").cast("string")).alias("e"), "confidence")
     edges = links.select(F.col("e").alias("src"), F.col("rid").alias("dst"), F.col("confidence").alias("weight")).unionByName(links.select(F.col("rid").alias("src"), F.col("e").alias("dst"), F.col("confidence").alias("weight")))
-    scores = graph.pagerank(edges, links.agg(F.min("e").alias("node")), rounds=10)
-    return graph.rank_sources(scores.where("node like 'e%' and node not like '%:%'"), links.select("rid", F.col("e").alias("node"))).select("rid", F.round("score", 9).alias("score"))
+    scores = graph.pagerank(edges, seeds, rounds=ROUNDS, epsilon=0.0).withColumn("score", F.round("score", 12))
+    return graph.rank_sources(scores.where("node like 'e%' and node not like '%:%'"), links.select("rid", F.col("e").alias("node")), most=most)
+
+
+@query("grf04_rank_sources", f"WITH {walk_sql('SELECT min(e) FROM l0', ROUNDS)} SELECT rid, round(score, 9) AS score FROM ent ORDER BY ent.score DESC, rid LIMIT 20")
+def grf04(spark, d):
+    """PageRank over the graph of entities that share texts, from one entity, then the texts of the best entities."""
+    seeds = table(spark, d, "bundle_entities").agg(F.min(F.concat(F.lit("e"), F.col("entity_id").cast("string"))).alias("node"))
+    return sources_by_rank(spark, d, seeds).select("rid", F.round("score", 9).alias("score"))
+
+
+_TERMS = ", ".join(f"'{w}'" for w in QUERY.split())
+_SEEDS = f"""SELECT 'e' || entity_id FROM entities WHERE lower(name) IN ({_TERMS}) UNION SELECT node FROM (SELECT 'e' || entity_id AS node, x, row_number() OVER (PARTITION BY x ORDER BY 'e' || entity_id) AS n
+    FROM entities, (SELECT unnest([{_TERMS}]) AS x) WHERE contains(lower(name), x) AND x NOT IN (SELECT lower(name) FROM entities)) WHERE n <= 10"""
+
+
+@query(
+    "ret07_entity_search",
+    f"""WITH {_BM25}, {_VEC.format(n=300, m=60)}, f1 AS (SELECT rid, round(rank, 5) AS rank FROM fts ORDER BY round(rank, 5) DESC, rid LIMIT 60),
+    b1 AS (SELECT min(rank) AS lo, max(rank) AS hi FROM f1), g1 AS (SELECT rid, CASE WHEN hi > lo THEN (rank - lo) / (hi - lo) ELSE 1.0 END AS fs FROM f1, b1),
+    hyb AS (SELECT coalesce(g1.rid, near.rid) AS rid, round(0.85 * coalesce(fs, 0) + 0.15 * coalesce(similarity, 0), 8) AS score FROM g1 FULL JOIN near ON g1.rid = near.rid ORDER BY score DESC, rid LIMIT 20),
+    {walk_sql(_SEEDS, ROUNDS)}, er AS (SELECT rid, row_number() OVER (ORDER BY score DESC, rid) AS pos FROM ent QUALIFY pos <= 40),
+    u AS (SELECT coalesce(hyb.rid, er.rid) AS rid, round(coalesce(hyb.score, 0) + coalesce(0.01 / er.pos, 0), 9) AS score FROM hyb FULL JOIN er ON er.rid = hyb.rid)
+    SELECT u.rid, u.score, least(5, (SELECT count(*) FROM bundle_entities b WHERE b.rid = u.rid)) AS triples FROM u WHERE u.rid IN (SELECT rid FROM cur) ORDER BY u.score DESC, u.rid LIMIT 20""",
+)
+def ret07(spark, d):
+    """Hybrid hits united with the texts of the entities that the query's words lead to by PageRank, these raised by
+    their place; unknown texts are left out, and up to five triples are counted for each."""
+    from pyspark.sql import Window as W
+
+    place = lambda c: F.row_number().over(W.orderBy(F.desc(c), "rid"))  # noqa: E731  (over at most forty rows)
+    nodes = table(spark, d, "entities").select(F.concat(F.lit("e"), F.col("entity_id").cast("string")).alias("node"), "name")
+    by_entity = sources_by_rank(spark, d, graph.find_seeds(nodes, QUERY.split()), most=40).withColumn("entity_pos", place("score")).select("rid", "entity_pos")
+    hits = ret03(spark, d).withColumn("pos", place("score"))
+    merged = retrieval.with_entity_bonus(hits, by_entity).join(current(spark, d).select("rid"), "rid", "left_semi").orderBy(F.desc("score"), "rid").limit(20)
+    links = table(spark, d, "bundle_entities").select(F.col("rid").alias("source"), F.col("rid").alias("src"), F.lit("mentions").alias("type"), F.col("entity_id").alias("dst"), F.col("confidence").alias("weight"))
+    triples = graph.triples_of(merged.select(F.col("rid").alias("source")), links).groupBy(F.col("source").alias("rid")).agg(F.count(F.lit(1)).alias("triples"))
+    return merged.join(triples, "rid", "left").na.fill(0, ["triples"])
 
 
 @query(

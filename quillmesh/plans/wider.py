@@ -307,15 +307,6 @@ def ret05(spark, d):
     return table(spark, d, "threads").select("id", weights[T.route(F.col("title"))].alias("alpha"))
 
 
-@query("ret07_entity_search")
-def ret07(spark, d):
-    """Hybrid hits raised by the texts of the best entities of the query's graph; tested on small tables."""
-    hits = ret03(spark, d).withColumn("pos", F.row_number().over(W.orderBy(F.desc("score"), "rid")))
-    named = entities.bundles_of_entity(table(spark, d, "entities"), table(spark, d, "bundle_entities"), current(spark, d, "namespace"), "james")
-    by = named.groupBy("rid").agg(F.max(F.struct("similarity", "confidence")).alias("s")).withColumn("entity_pos", F.row_number().over(W.orderBy(F.desc("s"), "rid"))).select("rid", "entity_pos")
-    return retrieval.with_entity_bonus(hits.select("rid", "pos", "score"), by).orderBy(F.desc("score"), "rid").limit(20)
-
-
 @query("ret09_chunked_rerank")
 def ret09(spark, d):
     hits = ret03(spark, d).join(current(spark, d, "search_text").select("rid", "search_text"), "rid")

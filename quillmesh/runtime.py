@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import sys
@@ -25,6 +26,7 @@ def session(app: str = "quillmesh", cpus: str = "*", **conf: str) -> SparkSessio
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -63,7 +65,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: ``spark.checkpoint.dir`` of the session, or an own one where that is unset."""
+    """The shared folder for checkpoints: ``spark.checkpoint.dir`` of the session; only in local mode, where there is one
+    machine, an own one if that is unset."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -72,13 +75,18 @@ def scratch_dir(spark: SparkSession) -> str:
         return named
     held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):  # a folder of this machine is no folder of the others
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "quillmesh-checkpoints"))
         held = sc._jsc.sc().getCheckpointDir()
     return held.get()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, so that a lost executor costs a re-read, not a re-run."""
+    """``df`` written once to the shared checkpoint folder, so that a lost executor costs a re-read, not a re-run.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` the files go when no frame refers to them any more.
+    """
     scratch_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -94,6 +102,26 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(inputs: DataFrame, name: str, make) -> DataFrame:
+    """A table that is made once per state of its input files and then read: ``make()`` is written under a name with
+    their paths, lengths and times to the shared folder, where later queries of the session find it."""
+    spark = inputs.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    seen = []
+    for f in sorted(inputs.inputFiles()):
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        status = p.getFileSystem(conf).getFileStatus(p)
+        seen.append(f"{f} {status.getLen()} {status.getModificationTime()}")
+    stamp = hashlib.sha256("\n".join(seen).encode()).hexdigest()[:16]
+    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{stamp}"
+    done, folder = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS"), jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    if not fs.exists(done):
+        make().write.mode("overwrite").option("compression", "zstd").parquet(path)
+        fs.deleteOnExit(folder)
+    return spark.read.parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

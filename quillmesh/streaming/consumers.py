@@ -1,29 +1,47 @@
 """What happens to a changed bundle: it is cut and embedded, and its entities are extracted and merged.
 
-Each consumer is a function of a micro-batch; its tables are folders, replaced at once, so a batch that is run again
-after a failure gives the same tables.
+Each consumer is a function of a micro-batch; its table is split by a hash of the rid, and a batch rewrites only the
+parts it touches, so a batch that is run again after a failure gives the same table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions import bundles as B
 from quillmesh.functions import text as T
 from quillmesh.operators import entities, ingest
 from quillmesh.operators.retrieval import EMBEDDERS
-from quillmesh.sources.sinks import replace_table
+from quillmesh.runtime import durable
+from quillmesh.sources.sinks import replace_parts
 
 #: Messages under these lengths are neither embedded nor searched for entities.
 LEAST_TO_EMBED, LEAST_TO_EXTRACT = 20, 30
 
 
-def _read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-    return spark.read.schema(like.schema).parquet(path) if there else like.limit(0)
+#: Folders that a consumer's table is split in by a hash of the key; a batch rewrites only those it touches.
+PARTS = 64
+
+
+def _part(key: str = "rid"):
+    return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+
+
+def _merge_parts(batch: DataFrame, path: str, make) -> None:
+    """Rewrites the parts of the table that hold keys of the batch: ``make`` gives their rows from the old ones."""
+    spark = batch.sparkSession
+    touched = sorted(r.part for r in batch.select(_part().alias("part")).distinct().collect())  # at most PARTS
+    if not touched:
+        return
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
+    old = spark.read.parquet(path).where(F.col("part").isin(*touched)).drop("part") if there else None
+    new = durable(make(old).withColumn("part", _part()))
+    replace_parts(new, path, "part")
+    for part in set(touched) - {r.part for r in new.select("part").distinct().collect()}:  # nothing is left of these
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part={part}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def long_enough(bundles: DataFrame, least: int) -> DataFrame:
@@ -45,19 +63,17 @@ def embed_consumer(path: str, config_id: str, **options):
 
     def handle(batch: DataFrame, number: int) -> None:
         new = chunk_and_embed(batch, config_id, **options)
-        old = _read(batch.sparkSession, path, new)
-        replace_table(ingest.without(old, batch, "rid").unionByName(new), path)
+        _merge_parts(batch, path, lambda old: new if old is None else ingest.without(old, batch, "rid").unionByName(new))
 
     return handle
 
 
-def extract_consumer(path: str):
+def extract_consumer(path: str, pipeline: str = "default"):
     """Replaces the entities of the bundles of a batch."""
 
     def handle(batch: DataFrame, number: int) -> None:
-        new = entities.merge(entities.extract(long_enough(batch, LEAST_TO_EXTRACT)))
-        old = _read(batch.sparkSession, path, new)
-        replace_table(ingest.without(old, batch, "rid").unionByName(new), path)
+        new = entities.run_pipeline(long_enough(batch, LEAST_TO_EXTRACT), pipeline)
+        _merge_parts(batch, path, lambda old: new if old is None else ingest.without(old, batch, "rid").unionByName(new))
 
     return handle
 
@@ -67,6 +83,6 @@ def merge_consumer(path: str, keys: tuple[str, ...] = ("rid",), kept: tuple[str,
 
     def handle(batch: DataFrame, number: int) -> None:
         new = ingest.last_of_batch(batch, list(keys), ["updated_at"])
-        replace_table(ingest.upsert(_read(batch.sparkSession, path, batch), new, list(keys), kept, changed), path)
+        _merge_parts(batch, path, lambda old: new if old is None else ingest.upsert(old, new, list(keys), kept, changed).select(*new.columns))
 
     return handle
