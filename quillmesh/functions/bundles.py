@@ -126,5 +126,19 @@ def preamble(namespace: str = "namespace") -> Column:
     return out.otherwise(F.concat(F.lit("Document from "), F.col(namespace), F.lit(".")))
 
 
+#: Lengths of previews.
+SHORT, MEDIUM = 150, 200
+
+
+def summary(namespace: str = "namespace", text: str = "search_text") -> Column:
+    """One line on a hit: sender, day and words of a message, title of a journal or recording, else its text; at most
+    ``MEDIUM`` characters and dots."""
+    front = "frontmatter."
+    talk = F.concat(F.lit("["), field("sender_id"), F.lit("] "), F.substring(field("platform_ts"), 1, 10), F.lit(": "), F.substring(field("content"), 1, SHORT))
+    chosen = kind(namespace)
+    line = F.when(chosen == "message", talk).when(chosen == "journal", first_of(front + "title", front + "description")).when(chosen == "recording", first_of("title", "filename")).otherwise(F.substring(F.coalesce(F.col(text), F.lit("")), 1, MEDIUM))
+    return F.when(F.length(line) > MEDIUM, F.concat(F.substring(line, 1, MEDIUM), F.lit("..."))).otherwise(line)
+
+
 def with_preamble(lead: Column, chunk: Column) -> Column:
     return F.when(lead == "", chunk).otherwise(F.concat(lead, F.lit("\n---\n"), chunk))

@@ -85,6 +85,22 @@ def fill_from(table: DataFrame, source: DataFrame, keys: list[str], column: str,
     return table.join(new, keys, "left").withColumn(column, F.when(where & F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col(column))).drop("_new")
 
 
+def set_field(contents: Column, field: str, value: Column) -> Column:
+    """JSON objects with a text field put in where it is missing or null; what isn't an object stays as it is.
+
+    A null that is there is replaced, other fields keep their notation.
+    """
+    bare = F.trim(contents)
+    is_object = F.get_json_object(contents, "$").isNotNull() & bare.startswith("{")
+    text = F.to_json(F.struct(value.cast("string").alias("v")))  # {"v":"..."}: the value with its escapes
+    shown = F.substring(text, F.lit(6), F.length(text) - 6)
+    held = rf'"{field}"\s*:\s*null(?=\s*[,}}])'
+    put = F.concat(F.substring(bare, F.lit(1), F.length(bare) - 1), F.when(bare.rlike(r"^\{\s*\}$"), "").otherwise(", "), F.lit(f'"{field}": '), shown, F.lit("}"))
+    replaced = F.concat(F.regexp_extract(bare, rf"(?s)^(.*?){held}", 1), F.lit(f'"{field}": '), shown, F.regexp_extract(bare, rf"(?s)^.*?{held}(.*)$", 1))
+    missing = F.get_json_object(contents, f"$.{field}").isNull()
+    return F.when(is_object & missing & value.isNotNull(), F.when(bare.rlike(held), replaced).otherwise(put)).otherwise(contents)
+
+
 def rename_namespaces(table: DataFrame, names: dict[str, str], columns: tuple[str, ...] = ("rid", "namespace")) -> DataFrame:
     """Namespaces renamed in the id and in their own column."""
     out = table

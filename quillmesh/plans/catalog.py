@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmesh.plans import dml, measures, relational, retrieval, streams, textual, wider  # noqa: F401
+from quillmesh.plans import deeper, dml, measures, relational, retrieval, streams, textual, wider  # noqa: F401
 from quillmesh.plans.registry import ORACLE, QUERIES
 
 FLAGSHIP = "ret03_hybrid_search"

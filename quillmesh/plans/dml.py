@@ -86,10 +86,12 @@ def snk10(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-@query("snk12_fill_json_field", "WITH {CUR} SELECT rid, coalesce(json_extract_string(CASE WHEN json_valid(contents) THEN contents END, '$.content_type'), 'unknown') AS kind FROM cur WHERE namespace LIKE '%-message'")
+@query("snk12_fill_json_field", "WITH {CUR}, m AS (SELECT rid, contents, json_valid(contents) AS ok FROM cur WHERE namespace LIKE '%-message') SELECT rid, CASE WHEN ok THEN coalesce(json_extract_string(contents, '$.reply_to'), 'none') END AS reply_to, CASE WHEN ok THEN json_extract_string(contents, '$.content') END AS content, CASE WHEN ok THEN coalesce(json_extract_string(contents, '$.note'), 'a \"b\"') END AS note FROM m")
 def snk12(spark, d):
+    """Two fields put into the JSON of every message that lacks them, and read again."""
     m = latest(table(spark, d, "bundles").where(F.col("namespace").endswith("-message")), "rid", "updated_at", "rid", "contents")
-    return m.select("rid", F.coalesce(F.get_json_object("contents", "$.content_type"), F.lit("unknown")).alias("kind"))
+    new = m.select("rid", ingest.set_field(ingest.set_field(F.col("contents"), "reply_to", F.lit("none")), "note", F.lit('a "b"')).alias("c"))
+    return new.select("rid", *[F.get_json_object("c", f"$.{f}").alias(f) for f in ("reply_to", "content", "note")])
 
 
 @query(

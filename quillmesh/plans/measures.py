@@ -41,9 +41,17 @@ def agg14(spark, d):
     return m.select(*[F.round(c, 4).alias(c) for c in ("recall", "mrr", "ndcg", "ap")], "queries")
 
 
-@query("ret14_alpha_grid")
+@query(
+    "ret14_alpha_grid",
+    f"""WITH {_RUN}, fts AS (SELECT query_id, rid, 1.0 / pos AS rank FROM run), near AS (SELECT run.query_id, rid, similarity FROM (SELECT rid, max(confidence) AS similarity FROM bundle_entities GROUP BY rid) JOIN run USING (rid)),
+    b AS (SELECT query_id, min(rank) AS lo, max(rank) AS hi FROM fts GROUP BY 1), sc AS (SELECT query_id, rid, CASE WHEN hi > lo THEN (rank - lo) / (hi - lo) ELSE 1.0 END AS fs FROM fts JOIN b USING (query_id)),
+    bo AS (SELECT coalesce(sc.query_id, near.query_id) AS query_id, coalesce(sc.rid, near.rid) AS rid, fs, similarity FROM sc FULL JOIN near ON sc.query_id = near.query_id AND sc.rid = near.rid), gr AS (SELECT *, round(step / 20.0, 4) AS alpha FROM bo, (SELECT unnest(range(21)) AS step)),
+    po AS (SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY round(alpha * coalesce(fs, 0) + (1 - alpha) * coalesce(similarity, 0), 9) DESC, rid) AS pos FROM gr), re AS (SELECT DISTINCT query_id, rid FROM qrels WHERE grade > 0), nn AS (SELECT query_id, count(*) AS n FROM re GROUP BY 1),
+    hi2 AS (SELECT alpha, query_id, sum(CASE WHEN pos <= 10 THEN 1 ELSE 0 END) AS found, 1.0 / min(pos) AS rr FROM po JOIN re USING (query_id, rid) GROUP BY 1, 2), ev AS (SELECT DISTINCT alpha, query_id FROM po)
+    SELECT CAST(alpha AS DOUBLE) AS alpha, round(avg(coalesce(found / n, 0)), 6) AS recall, round(avg(coalesce(rr, 0)), 6) AS mrr FROM ev LEFT JOIN hi2 USING (alpha, query_id) LEFT JOIN nn USING (query_id) GROUP BY alpha""",
+)
 def ret14(spark, d):
-    """Recall and reciprocal rank of each weight; scores are text length and link confidence. Tested on small tables."""
+    """Recall and reciprocal rank of each weight; scores are text length and link confidence. """
     run = _run(spark, d).select("query_id", "rid", (1.0 / F.col("pos")).alias("rank"))
     near = table(spark, d, "bundle_entities").groupBy("rid").agg(F.max("confidence").alias("similarity")).join(run.select("query_id", "rid"), "rid")
     return evaluation.alpha_grid(run, near.select("query_id", "rid", "similarity"), _qrels(spark, d))

@@ -85,6 +85,17 @@ def prj03(spark, d):
     return table(spark, d, "chunk_embeddings").select("vec_id", B.with_preamble(lead, F.col("chunk_text")).alias("embedded"))
 
 
+@query(
+    "prj04_summaries",
+    f"""WITH {{CUR}}, k AS (SELECT rid, search_text, regexp_replace(namespace, '^[^-]*-', '') AS kind, {_J} AS j FROM cur),
+    l AS (SELECT rid, CASE kind WHEN 'message' THEN '[' || {_f('sender_id')} || '] ' || substr({_f('platform_ts')}, 1, 10) || ': ' || substr({_f('content')}, 1, 150)
+      WHEN 'journal' THEN coalesce(nullif({_f('frontmatter.title')}, ''), {_f('frontmatter.description')}) WHEN 'recording' THEN coalesce(nullif({_f('title')}, ''), {_f('filename')}) ELSE substr(coalesce(search_text, ''), 1, 200) END AS line FROM k)
+    SELECT rid, CASE WHEN length(line) > 200 THEN substr(line, 1, 200) || '...' ELSE line END AS summary FROM l""",
+)
+def prj04_summaries(spark, d):
+    return current(spark, d, "namespace", "contents", "search_text").select("rid", B.summary().alias("summary"))
+
+
 @query("prj04_preview", "WITH {CUR} SELECT rid, CASE WHEN length(search_text) > 200 THEN substr(search_text, 1, 200) || '...' ELSE search_text END AS preview FROM cur")
 def prj04(spark, d):
     return current(spark, d, "search_text").select("rid", T.preview(F.col("search_text")).alias("preview"))
@@ -133,25 +144,28 @@ def str11(spark, d):
 
 @query(
     "str13_changelog_sections",
-    r"""SELECT doc_id, len(list_filter(string_split(chr(10) || text, chr(10) || '## '), lambda s: regexp_matches(s, '^\d'))) AS sections, len(list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '^\s*[-*] Added '))) AS added FROM documents WHERE source LIKE 'changelog%' AND text IS NOT NULL""",
+    r"""WITH d AS (SELECT doc_id, text, list_filter(string_split(chr(10) || text, chr(10) || '## '), lambda s: regexp_matches(s, '^\d')) AS s FROM documents WHERE source LIKE 'changelog%' AND text IS NOT NULL)
+    SELECT doc_id, array_to_string(list_transform(s, lambda x: regexp_extract(x, '^(\S+)', 1)), ',') AS versions, md5(array_to_string(list_transform(s, lambda x: trim(regexp_replace(x, '^\S+[^\n]*', ''))), '|')) AS bodies,
+    len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*[-*] Added '))) AS added FROM d""",
 )
 def str13(spark, d):
     c = table(spark, d, "documents").where(F.col("source").startswith("changelog") & F.col("text").isNotNull())
-    return c.select("doc_id", F.size(T.changelog_sections(F.col("text"))).alias("sections"), F.size(T.bullets(F.col("text"), "Added")).alias("added"))
+    of = lambda f: F.transform(T.changelog_sections(F.col("text")), lambda x: x[f])
+    return c.select("doc_id", F.array_join(of("version"), ",").alias("versions"), F.md5(F.array_join(of("body"), "|")).alias("bodies"), F.size(T.bullets(F.col("text"), "Added")).cast("long").alias("added"))
 
 
 @query(
     "str16_pattern_entities",
     r"""WITH t AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL)
-    SELECT doc_id, 'Date' AS entity_type, unnest(list_distinct(regexp_extract_all(text, '\b(\d{4}[-/]\d{2}[-/]\d{2})\b', 1))) AS name FROM t
-    UNION ALL SELECT doc_id, 'URL', unnest(list_distinct(list_transform(regexp_extract_all(text, '(https?://[^\s<>"'')\]]+)', 1), lambda x: regexp_replace(x, '[.,;:)]+$', '')))) FROM t
-    UNION ALL SELECT doc_id, 'Path', unnest(list_distinct(list_filter(list_transform(regexp_extract_all(text, '(?m)(?:^|[\s(])((?:/[\w._-]+){2,}(?:/[\w._-]*)?)(?:\s|[),;:]|$)', 1), lambda x: regexp_replace(x, '[.,;:)]+$', '')), lambda x: length(x) > 3))) FROM t
-    UNION ALL SELECT doc_id, 'RID', unnest(list_distinct(regexp_extract_all(text, '\b(orn:[\w.-]+:[\w./_-]+)\b', 1))) FROM t
-    UNION ALL SELECT doc_id, 'Version', unnest(list_distinct(regexp_extract_all(text, '\bv?(\d+\.\d+\.\d+(?:[-+][\w.]+)?)\b', 1))) FROM t""",
+    SELECT doc_id, 'Date' AS entity_type, 'temporal' AS supertype, CAST(1.0 AS DOUBLE) AS confidence, unnest(list_distinct(regexp_extract_all(text, '\b(\d{4}[-/]\d{2}[-/]\d{2})\b', 1))) AS name FROM t
+    UNION ALL SELECT doc_id, 'URL', 'place', 1.0, unnest(list_distinct(list_transform(regexp_extract_all(text, '(https?://[^\s<>"'')\]]+)', 1), lambda x: regexp_replace(x, '[.,;:)]+$', '')))) FROM t
+    UNION ALL SELECT doc_id, 'Path', 'place', 0.9, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(text, '(?m)(?:^|[\s(])((?:/[\w._-]+){2,}(?:/[\w._-]*)?)(?:\s|[),;:]|$)', 1), lambda x: regexp_replace(x, '[.,;:!?]+$', '')), lambda x: length(x) > 3))) FROM t
+    UNION ALL SELECT doc_id, 'RID', 'artifact', 1.0, unnest(list_distinct(regexp_extract_all(text, '\b(orn:[\w.-]+:[\w./_-]+)\b', 1))) FROM t
+    UNION ALL SELECT doc_id, 'Version', 'artifact', 0.9, unnest(list_distinct(regexp_extract_all(text, '\bv?(\d+\.\d+\.\d+(?:[-+][\w.]+)?)\b', 1))) FROM t""",
 )
 def str16(spark, d):
     """Distinct entities by pattern of every document."""
-    return entities.extract(table(spark, d, "documents").where("text is not null"), "doc_id", "text").select("doc_id", "entity_type", "name")
+    return entities.extract(table(spark, d, "documents").where("text is not null"), "doc_id", "text").select("doc_id", "entity_type", "supertype", F.col("confidence").cast("double").alias("confidence"), "name")
 
 
 @query(

@@ -14,7 +14,7 @@ from quillmesh.operators import entities, graph, ingest, retrieval
 from quillmesh.plans import textual  # noqa: F401  (its SQL is used below)
 from quillmesh.plans.registry import ORACLE, query
 from quillmesh.plans.relational import current
-from quillmesh.plans.retrieval import QUERY, nation_edges, NATION_EDGES, ret03
+from quillmesh.plans.retrieval import _SIM, NAME, NATION_EDGES, QUERY, nation_edges, ret03
 from quillmesh.runtime import latest, table
 
 _J = "CASE WHEN json_valid(contents) THEN contents END"
@@ -89,10 +89,16 @@ def join05(spark, d):
     return b.select("rid", F.get_json_object("contents", "$.folder_path").alias("folder"), F.explode_outer(F.from_json(F.get_json_object("contents", "$.tags"), "array<string>")).alias("tag"))
 
 
-@query("join08_threads_without_messages", r"WITH {CUR} SELECT id FROM threads WHERE id NOT IN (SELECT regexp_extract(reference, '^[^:]+:(.+):[0-9]+$', 1) FROM cur WHERE namespace LIKE '%-message')")
+@query(
+    "join08_threads_with_statistics",
+    rf"""WITH {{CUR}}, m AS (SELECT regexp_extract(reference, '^[^:]+:(.+):[0-9]+$', 1) AS id, coalesce(length(json_extract_string({_J}, '$.content')), 0) AS n, CASE WHEN json_extract_string({_J}, '$.reply_to') IS NOT NULL THEN 1 ELSE 0 END AS r FROM cur WHERE namespace LIKE '%-message')
+    SELECT t.id, count(m.id) AS messages, coalesce(sum(n), 0) AS characters, coalesce(sum(r), 0) AS replies FROM threads t LEFT JOIN m USING (id) GROUP BY t.id""",
+)
 def join08(spark, d):
-    m = table(spark, d, "bundles").where(F.col("namespace").endswith("-message")).select(F.regexp_extract("reference", r"^[^:]+:(.+):[0-9]+$", 1).alias("id"))
-    return ingest.without(table(spark, d, "threads"), m, "id").select("id")
+    """Every thread with the numbers of its messages; summed per thread before the join, as one thread holds very many."""
+    m = kind_rows(spark, d, "-message", "reference", "contents").select(F.regexp_extract("reference", r"^[^:]+:(.+):[0-9]+$", 1).alias("id"), F.coalesce(F.length(F.get_json_object("contents", "$.content")), F.lit(0)).alias("n"), F.get_json_object("contents", "$.reply_to").isNotNull().cast("int").alias("r"))
+    sums = m.groupBy("id").agg(F.count(F.lit(1)).alias("messages"), F.sum("n").alias("characters"), F.sum("r").alias("replies"))
+    return table(spark, d, "threads").groupBy("id").agg(F.count(F.lit(1)).alias("_rows")).join(sums, "id", "left").select("id", *[F.coalesce(F.col(c) * F.col("_rows"), F.lit(0)).alias(c) for c in ("messages", "characters", "replies")])
 
 
 @query("join17_judged_hits", "WITH {CUR} SELECT c.rid, coalesce(max(l.mention_count), 0) AS grade FROM cur c LEFT JOIN bundle_entities l ON l.rid = c.rid AND l.confidence > 0.9 WHERE c.namespace LIKE '%-plan' GROUP BY c.rid")
@@ -203,15 +209,16 @@ def set05(spark, d):
     return e.select(F.col("src").alias("node")).unionAll(e.select("dst")).groupBy("node").agg(F.count(F.lit(1)).alias("edges"))
 
 
-@query("str08_without_time_marks")
+@query("str08_without_time_marks", rf"WITH {{CUR}} SELECT rid, md5(array_to_string(list_filter(list_transform(string_split(coalesce(json_extract_string({_J}, '$.transcript_text'), ''), chr(10)), lambda l: trim(regexp_replace(l, '^\s*\[[\d:.]+s?(?:\s*->\s*[\d:.]+s?)?\]\s*', ''))), lambda l: l <> ''), chr(10))) AS digest FROM cur WHERE namespace LIKE '%-recording'")
 def str08(spark, d):
-    """Transcripts without the time marks that lead their lines; tested on small texts."""
-    return kind_rows(spark, d, "-recording", "contents").select("rid", T.strip_time_marks(B.field("transcript_text")).alias("transcript"))
+    """Transcripts without the time marks that lead their lines."""
+    return kind_rows(spark, d, "-recording", "contents").select("rid", F.md5(T.strip_time_marks(B.field("transcript_text"))).alias("digest"))
 
 
-@query("str09_front_matter", "SELECT doc_id, starts_with(trim(text), '---') AND len(string_split(text, '---')) >= 3 AS has_head FROM documents WHERE text IS NOT NULL")
+@query("str09_front_matter", r"WITH x AS (SELECT doc_id, text, starts_with(trim(text), '---') AND len(string_split(text, '---')) >= 3 AS has FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN has THEN string_split(text, '---')[2] END AS head, md5(CASE WHEN has THEN regexp_replace(array_to_string(string_split(text, '---')[3:], '---'), '^\s+|\s+$', '', 'g') ELSE text END) AS body FROM x")
 def str09(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", T.front_matter(F.col("text"))["head"].isNotNull().alias("has_head"))
+    parts = T.front_matter(F.col("text"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", parts["head"].alias("head"), F.md5(parts["body"]).alias("body"))
 
 
 @query("str15_search_terms", r"SELECT id, array_to_string(list_filter(regexp_extract_all(lower(title), '\b([a-z][\w-]*)\b', 1), lambda w: length(w) > 1 AND w NOT IN ('what','how','why','when','where','who','is','are','was','were','do','does','did','the','a','an','in','on','at','to','for','of','with','by','from','about','i','my','me','know','tell','show','find','get','related','all')), ' ') AS terms FROM threads WHERE title IS NOT NULL")
@@ -225,12 +232,12 @@ def str19(spark, d):
     return table(spark, d, "entities").select("entity_id", F.round(T.fuzzy_ratio(F.col("name"), F.col("name_normalized")), 6).alias("ratio"))
 
 
-@query("str22_repaired_json", "SELECT count(*) AS n FROM bundles WHERE json_valid(contents)")
+@query("str22_repaired_json", r"SELECT rid, updated_at, md5(regexp_replace(contents, ',\s*([}\]])', '\1', 'g')) AS digest FROM bundles WHERE json_valid(contents) AND rid IS NOT NULL")
 def str22(spark, d):
     """A fence and a trailing comma put around valid contents are taken away again."""
-    b = table(spark, d, "bundles").where(F.get_json_object("contents", "$").isNotNull())
+    b = table(spark, d, "bundles").where(F.get_json_object("contents", "$").isNotNull() & F.col("rid").isNotNull())
     dirty = F.concat(F.lit("```json\n"), F.regexp_replace("contents", r"\}$", ",}"), F.lit("\n```"))
-    return b.where(F.get_json_object(T.repair_json(dirty), "$").isNotNull()).agg(F.count(F.lit(1)).alias("n"))
+    return b.select("rid", F.col("updated_at"), F.md5(T.repair_json(dirty)).alias("digest"))
 
 
 @query("str23_wildcards", "SELECT source, count(*) AS n FROM documents WHERE regexp_matches(lower(source), '^.*\\.harbor-.$') GROUP BY source")
@@ -245,10 +252,12 @@ def url04(spark, d):
     return c.select("rid", U.url_hash(F.get_json_object("contents", "$.url")).alias("h"))
 
 
-@query("url02_stripped_parameters", f"WITH {{CUR}} SELECT rid, CASE WHEN contains(json_extract_string({_J}, '$.url'), '&ref=') THEN 'ref' ELSE '' END AS gone FROM cur WHERE namespace LIKE '%-browser-history' AND json_valid(contents)")
+@query("url02_stripped_parameters", f"""WITH {{CUR}}, u AS (SELECT rid, json_extract_string({_J}, '$.url') AS u FROM cur WHERE namespace LIKE '%-browser-history' AND json_valid(contents)),
+    s AS (SELECT rid, list_filter(list_transform(string_split(regexp_extract(u, '\\?([^#]*)', 1), '&'), lambda p: regexp_extract(p, '^[^=]*')), lambda p: regexp_matches(lower(p), '^(ref|si|utm_[a-z]+|fbclid|gclid)$')) AS gone FROM u) SELECT rid, array_to_string(gone, ',') AS gone, CASE WHEN len(gone) > 0 THEN 'default' ELSE 'default' END AS policy FROM s""")
 def url02(spark, d):
     c = kind_rows(spark, d, "-browser-history", "contents").where(F.get_json_object("contents", "$").isNotNull())
-    return c.select("rid", F.array_join(U.stripped(F.get_json_object("contents", "$.url")), ",").alias("gone"))
+    u = F.get_json_object("contents", "$.url")
+    return c.select("rid", F.array_join(U.stripped(u), ",").alias("gone"), U.with_policy(u, {})["policy"].alias("policy"))
 
 
 @query("hsh02_record_hash")
@@ -263,19 +272,21 @@ def dat01(spark, d):
     return table(spark, d, "events").select("event_id", F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
 
 
-@query("dat02_lenient_times", f"WITH {{CUR}} SELECT rid, try_cast(json_extract_string({_J}, '$.date_recorded') AS DATE) IS NOT NULL AS ok FROM cur WHERE namespace LIKE '%-recording'")
+@query("dat02_lenient_times", f"WITH {{CUR}} SELECT rid, CAST(coalesce(try_cast(json_extract_string({_J}, '$.date_recorded') AS DATE), DATE '2000-01-01') AS VARCHAR) AS day FROM cur WHERE namespace LIKE '%-recording'")
 def dat02(spark, d):
-    return kind_rows(spark, d, "-recording", "contents").select("rid", F.get_json_object("contents", "$.date_recorded").try_cast("date").isNotNull().alias("ok"))
+    """Days that don't parse take a fallback, here a fixed one in place of the present day."""
+    day = F.coalesce(F.get_json_object("contents", "$.date_recorded").try_cast("date"), F.lit("2000-01-01").cast("date"))
+    return kind_rows(spark, d, "-recording", "contents").select("rid", day.cast("string").alias("day"))
 
 
-@query("vec03_literals", "SELECT vec_id, length(array_to_string(list_transform(embedding, lambda x: printf('%.8f', x::DOUBLE)), ',')) + 2 AS n FROM embeddings")
+@query("vec03_literals", "SELECT vec_id, md5('[' || array_to_string(list_transform(embedding, lambda x: printf('%.8f', x::DOUBLE)), ',') || ']') AS digest FROM embeddings")
 def vec03(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.length(V.literal(F.col("embedding"))).cast("long").alias("n"))
+    return table(spark, d, "embeddings").select("vec_id", F.md5(V.literal(F.col("embedding"))).alias("digest"))
 
 
-@query("vec04_cut_before_embedding", "SELECT vec_id, length(substr(chunk_text, 1, 2000)) AS n FROM chunk_embeddings")
+@query("vec04_cut_before_embedding", "WITH {CUR} SELECT rid, md5(substr(search_text, 1, 2000)) AS digest FROM cur")
 def vec04(spark, d):
-    return table(spark, d, "chunk_embeddings").select("vec_id", F.length(F.substring("chunk_text", 1, 2000)).alias("n"))
+    return current(spark, d, "search_text").select("rid", F.md5(F.substring("search_text", 1, 2000)).alias("digest"))
 
 
 @query("mth03_discounted_gain", "SELECT rid, round(sum(mention_count / log2(pos + 1)), 6) AS dcg FROM (SELECT rid, mention_count, row_number() OVER (PARTITION BY rid ORDER BY confidence DESC, entity_id) AS pos FROM bundle_entities) GROUP BY rid")
@@ -284,10 +295,10 @@ def mth03(spark, d):
     return r.groupBy("rid").agg(F.round(F.sum(F.col("mention_count") / F.log2(F.col("pos") + 1)), 6).alias("dcg"))
 
 
-@query("arr02_flattened_texts", f"WITH {{CUR}}, m AS (SELECT rid, json_extract({_J}, '$.chat_messages') AS m FROM cur WHERE namespace LIKE '%-web.conversation' AND json_valid(contents)) SELECT rid, len(list_filter(list_transform(range(coalesce(json_array_length(m), 0)::BIGINT), lambda i: json_extract_string(m, '$[' || i || '].text')), lambda t: coalesce(t, '') <> '')) AS texts FROM m")
+@query("arr02_flattened_texts", f"WITH {{CUR}}, m AS (SELECT rid, json_extract({_J}, '$.chat_messages') AS m FROM cur WHERE namespace LIKE '%-web.conversation' AND json_valid(contents)) SELECT rid, md5(array_to_string(list_filter(list_transform(range(coalesce(json_array_length(m), 0)::BIGINT), lambda i: json_extract_string(m, '$[' || i || '].text')), lambda t: coalesce(t, '') <> ''), '|')) AS digest FROM m")
 def arr02(spark, d):
     c = kind_rows(spark, d, "-web.conversation", "contents").where(F.get_json_object("contents", "$").isNotNull())
-    return c.select("rid", F.size(B.texts_of("chat_messages", "text")).cast("long").alias("texts"))
+    return c.select("rid", F.md5(F.array_join(B.texts_of("chat_messages", "text"), "|")).alias("digest"))
 
 
 @query("map02_supertypes", "SELECT entity_id, CASE entity_type WHEN 'Person' THEN 'agent' WHEN 'Speaker' THEN 'agent' WHEN 'Organization' THEN 'agent' WHEN 'Tool' THEN 'artifact' WHEN 'Project' THEN 'artifact' WHEN 'Concept' THEN 'concept' WHEN 'Topic' THEN 'concept' END AS supertype FROM entities")
@@ -334,13 +345,19 @@ def ent02(spark, d):
     return links.where(ontology.allowed(B.kind(), F.col("entity_type"))).groupBy("namespace").agg(F.count(F.lit(1)).alias("allowed"))
 
 
-@query("ent09_neighbourhood")
+@query(
+    "ent09_neighbourhood",
+    f"""WITH {{CUR}}, {_SIM}, a AS (SELECT 'similar' AS section, CAST(entity_id AS VARCHAR) AS key, similarity AS score FROM seed ORDER BY similarity DESC, mention_count DESC, entity_id LIMIT 10),
+    b AS (SELECT 'bundle', l.rid, confidence FROM bundle_entities l JOIN seed USING (entity_id) JOIN cur USING (rid) ORDER BY similarity DESC, confidence DESC, l.rid, l.entity_id LIMIT 10),
+    r AS (SELECT DISTINCT rid FROM bundle_entities WHERE entity_id IN (SELECT entity_id FROM seed)), o AS (SELECT entity_id, count(DISTINCT rid) AS shared FROM bundle_entities WHERE rid IN (SELECT rid FROM r) AND entity_id NOT IN (SELECT entity_id FROM seed) GROUP BY entity_id),
+    c AS (SELECT 'shared', CAST(entity_id AS VARCHAR), CAST(shared AS DOUBLE) FROM o JOIN entities USING (entity_id) ORDER BY shared DESC, mention_count DESC, entity_id LIMIT 10) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""",
+)
 def ent09(spark, d):
     """Similar entities, their texts and the entities that share texts, as sections of one table."""
     e, l = table(spark, d, "entities"), table(spark, d, "bundle_entities")
-    a = entities.search_entities(e, "james", most=10).select(F.lit("similar").alias("section"), F.col("entity_id").cast("string").alias("key"), F.col("similarity").alias("score"))
-    b = entities.bundles_of_entity(e, l, current(spark, d, "namespace"), "james", most=10).select(F.lit("bundle").alias("section"), F.col("rid").alias("key"), F.col("confidence").alias("score"))
-    c = entities.cooccurring(e, l, "james", most=10).select(F.lit("shared").alias("section"), F.col("entity_id").cast("string").alias("key"), F.col("shared").cast("double").alias("score"))
+    a = entities.search_entities(e, NAME, most=10).select(F.lit("similar").alias("section"), F.col("entity_id").cast("string").alias("key"), F.col("similarity").alias("score"))
+    b = entities.bundles_of_entity(e, l, current(spark, d, "namespace"), NAME, most=10).select(F.lit("bundle").alias("section"), F.col("rid").alias("key"), F.col("confidence").alias("score"))
+    c = entities.cooccurring(e, l, NAME, most=10).select(F.lit("shared").alias("section"), F.col("entity_id").cast("string").alias("key"), F.col("shared").cast("double").alias("score"))
     return a.unionByName(b).unionByName(c)
 
 

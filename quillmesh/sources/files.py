@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import configparser
+from collections.abc import Iterator
 from pathlib import Path
+from urllib.parse import unquote, urlsplit
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.functions import bundles as B
 from quillmesh.functions import text as T
 from quillmesh.functions.rids import make
 
@@ -100,6 +104,102 @@ def session_logs(spark: SparkSession, path: str) -> DataFrame:
     return sums.join(lead, "path", "left")
 
 
+def plan_bundles(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
+    """Plans: Markdown bundles with title (first heading), goal (the bold field), kind and parent of their file names."""
+    rows = markdown_bundles(spark, folder, "plan", prefix)
+    kind = T.plan_kind(F.col("reference"))
+    return rows.select("*", T.bold_field(F.col("body"), "Goal").alias("goal"), kind["kind"].alias("plan_type"), kind["parent"].alias("parent_slug"))
+
+
+def _beside(sidecar: str, flag: str):
+    """Text of a hidden sidecar and presence of a flag file in each folder; listings leave hidden files out, so they
+    are opened by name, from a folder that every executor sees."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            places = [Path(unquote(urlsplit(f).path)) for f in batch["folder"]]
+            texts = [(p / sidecar).read_text(encoding="utf-8", errors="replace") if (p / sidecar).is_file() else None for p in places]
+            yield pd.DataFrame({"folder": batch["folder"], "side": texts, "analyzed": [(p / flag).is_file() for p in places]})
+
+    return run
+
+
+def skill_bundles(spark: SparkSession, folder: str, sidecar: str = ".version", flag: str = ".analyzed") -> DataFrame:
+    """Markdown files of generated skills with the key: value pairs of the sidecar in their folder (null if there is
+    none) and whether the folder holds the flag file."""
+    docs = text_files(spark, folder, "*.md").withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]+$", 1))
+    side = docs.select("folder").distinct().mapInPandas(_beside(sidecar, flag), "folder string, side string, analyzed boolean")
+    lines = F.filter(F.split("side", "\n"), lambda x: x.rlike(r"^[^:#]+:"))
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, "^([^:]+):", 1)).alias("k"), F.trim(F.regexp_extract(x, "^[^:]+:(.*)$", 1)).alias("v")))
+    rows = docs.join(side, "folder", "left")
+    return rows.select("path", "text", F.map_from_entries(F.array_distinct(pairs)).alias("version"), "analyzed", F.sha2("text", 256).alias("hash"))
+
+
+def persona_items(spark: SparkSession, folder: str, items: dict[str, str] | None = None) -> DataFrame:
+    """Items of a persona's files (item_type, reference, body, file_hash): a Markdown or JSON file is one item, every
+    line of a JSON lines file is one; file_hash tells whether a file has changed at all.
+
+    ``items`` maps file names to item types; other JSON files hold facts, everything else observations.
+    """
+    parts = [text_files(spark, folder, g).withColumn("form", F.lit(g[2:])) for g in ("*.md", "*.json", "*.jsonl")]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("file_hash", F.sha2("text", 256)).withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    split = rows.select("path", "name", F.regexp_replace("name", r"\.[^.]+$", "").alias("stem"), "form", "file_hash", F.posexplode(F.when(F.col("form") == "jsonl", lines).otherwise(F.array("text"))).alias("n", "body"))
+    item = F.when(F.col("form") == "json", "fact").otherwise("observation")
+    for name, kind in (items or {}).items():
+        item = F.when(F.col("name") == name, kind).otherwise(item)
+    reference = F.when(F.col("form") == "jsonl", F.concat("stem", F.lit("#"), F.col("n").cast("string"))).otherwise(F.col("stem"))
+    valid = (F.col("form") == "md") | F.get_json_object("body", "$").isNotNull()
+    return split.where(valid).select(item.alias("item_type"), reference.alias("reference"), "body", "file_hash")
+
+
+def contacts(scores: DataFrame, identities: DataFrame, since: str | None = None) -> DataFrame:
+    """Contact scores with their identities (inner join on identity_id), computed after a high-water mark."""
+    rows = scores if since is None else scores.where(F.col("computed_at") > F.lit(since))
+    return rows.join(identities, "identity_id")
+
+
+def recordings(rows: DataFrame, transcripts: DataFrame, files: DataFrame) -> DataFrame:
+    """Recordings with the text of their transcript files, without time marks; those without one have null.
+
+    ``rows`` has recording_id, ``transcripts`` (recording_id, path), ``files`` the ``text_files`` of the folder, matched
+    by the end of their path.
+    """
+    name = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
+    texts = files.select(name(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))).alias("_name"), T.strip_time_marks(F.col("text")).alias("transcript_text"))
+    told = transcripts.select("recording_id", name(F.col("path")).alias("_name")).join(texts, "_name").groupBy("recording_id").agg(F.max("transcript_text").alias("transcript_text"))
+    return rows.join(told, "recording_id", "left")
+
+
+CHAT_EXPORT = "uuid string, name string, summary string, description string, prompt_template string, created_at string, updated_at string, chat_messages array<struct<sender:string,text:string,created_at:string>>, docs array<struct<filename:string,content:string>>, conversations_memory string, project_memories map<string,string>"
+
+
+def chat_exports(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
+    """Conversations, projects and memories of a chat export (lists of JSON objects) as bundles.
+
+    What an object is shows in its fields: messages make a conversation, documents or a prompt a project, memories a
+    memory; others and those without an id (memories are one for each file) are left out.
+    """
+    rows = json_documents(spark, folder, CHAT_EXPORT).withColumn("path", F.col("_metadata.file_path"))
+    kind = F.when(F.col("chat_messages").isNotNull(), "web.conversation").when(F.col("docs").isNotNull() | F.col("prompt_template").isNotNull(), "web.project").when(F.col("conversations_memory").isNotNull() | F.col("project_memories").isNotNull(), "web.memory")
+    fields = [f.name for f in rows.schema.fields if f.name != "path"]
+    reference = F.coalesce("uuid", F.when(kind == "web.memory", F.sha2("path", 256)))
+    out = rows.select(kind.alias("_kind"), reference.alias("reference"), F.to_json(F.struct(*fields)).alias("contents"), F.col("created_at").alias("_created")).where("_kind is not null and reference is not null")
+    out = out.withColumn("namespace", F.concat(F.lit(prefix), F.col("_kind")))
+    return out.select(make(F.col("namespace"), F.col("reference")).alias("rid"), "namespace", "reference", "contents", F.coalesce(F.try_to_timestamp("_created"), F.current_timestamp()).alias("created_at"), B.search_text().alias("search_text"))
+
+
+def cached_bundles(spark: SparkSession, folder: str) -> DataFrame:
+    """Bundles of a cache of JSON files (one object with rid and contents each); contents that are no object are wrapped
+    as {"raw": ...}, files that don't parse or have no rid are left out."""
+    rows = text_files(spark, folder, "*.json").select(F.get_json_object("text", "$.rid").alias("rid"), F.get_json_object("text", "$.contents").alias("contents")).where("rid is not null")
+    bare = F.trim("contents")
+    parsed = F.get_json_object("contents", "$").isNotNull() & (bare.startswith("[") | bare.rlike(r"^-?\d"))
+    raw = F.when(parsed, F.concat(F.lit('{"raw":'), F.col("contents"), F.lit("}"))).otherwise(F.to_json(F.struct(F.col("contents").alias("raw"))))
+    parts = F.split("rid", ":", 3)
+    return rows.select("rid", parts[1].alias("namespace"), parts[2].alias("reference"), F.when(bare.startswith("{"), F.col("contents")).when(F.col("contents").isNotNull(), raw).alias("contents"))
+
+
 def profiles(ini: str) -> list[tuple[str, str]]:
     """(name, folder) of the profiles of a browser's INI file; relative folders lie beside the file."""
     parser = configparser.ConfigParser()

@@ -50,6 +50,41 @@ def split_failures(tried: DataFrame, most: int = MOST_TRIES) -> tuple[DataFrame,
     return tried.where(~failed), tried.where(failed & (F.col("tries") < most)), tried.where(failed & (F.col("tries") >= most))
 
 
+#: Seconds after which an event that isn't acknowledged is given out again, and events of one pull.
+IDLE_SECONDS, PULL = 5.0, 10
+
+
+def pull(events: DataFrame, pending: DataFrame, now: float, most: int = PULL) -> DataFrame:
+    """``(id, tries)`` that a consumer of a group gets next: first what was given out but not acknowledged for
+    ``IDLE_SECONDS`` and has tries left, then new events, oldest first, ``most`` in all.
+
+    ``events`` has (id, at), ``pending`` the group's (id, tries, given, acked).
+    """
+    again = pending.where(~F.col("acked") & (F.lit(now) - F.col("given") >= IDLE_SECONDS) & (F.col("tries") < MOST_TRIES)).join(events, "id").select("id", "at", (F.col("tries") + 1).alias("tries"), F.lit(0).alias("turn"))
+    fresh = events.join(pending.select("id"), "id", "left_anti").select("id", "at", F.lit(1).alias("tries"), F.lit(1).alias("turn"))
+    return again.unionByName(fresh).orderBy("turn", "at", "id").limit(most).select("id", "tries")
+
+
+def dead_letters(pending: DataFrame, now: float) -> DataFrame:
+    """Events whose last try has run out without an acknowledgement."""
+    return pending.where(~F.col("acked") & (F.col("tries") >= MOST_TRIES) & (F.lit(now) - F.col("given") >= IDLE_SECONDS)).select("id", "tries")
+
+
+def acknowledge(pending: DataFrame, given: DataFrame, done: DataFrame, now: float) -> DataFrame:
+    """The group's state after a pull (id, tries) of which ``done`` (id) has been worked off."""
+    new = given.select("id", F.col("tries").alias("_tries"), F.lit(now).alias("_given"))
+    ok = done.select("id", F.lit(True).alias("_ok")).distinct()
+    both = pending.join(new, "id", "full_outer").join(ok, "id", "left")
+    return both.select("id", F.coalesce("_tries", "tries").alias("tries"), F.coalesce("_given", "given").alias("given"), (F.coalesce("acked", F.lit(False)) | F.coalesce("_ok", F.lit(False))).alias("acked"))
+
+
+def group_lag(events: DataFrame, pending: DataFrame, *by: str) -> DataFrame:
+    """Per group of events: how many there are, how many are given out without an acknowledgement, how many are new."""
+    state = pending.select("id", "acked")
+    rows = events.join(state, "id", "left")
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("length"), F.count_if(~F.col("acked")).alias("pending"), F.count_if(F.col("acked").isNull()).alias("undelivered"))
+
+
 _BREAKER_OUT = "service string, at double, state string, event string"
 _BREAKER_STATE = "state string, failures int, opened double"
 
