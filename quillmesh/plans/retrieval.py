@@ -258,11 +258,11 @@ def walk_sql(seeds: str, rounds: int, nodes: int = 50) -> str:
     """Common table expressions of a personalised PageRank over the links between entities and texts from ``seeds`` (a
     query of column node), ending in ent (rid, score)."""
     steps = ", ".join(
-        f"w{i} AS (SELECT n.node, 0.15 * n.base + 0.85 * coalesce(g.came, 0) AS score, n.base FROM w{i - 1} n LEFT JOIN (SELECT f.dst, sum(p.score * f.share) AS came FROM w{i - 1} p JOIN f ON f.src = p.node GROUP BY f.dst) g ON g.dst = n.node)" for i in range(1, rounds + 1)
+        f"w{i} AS MATERIALIZED (SELECT n.node, 0.15 * n.base + 0.85 * coalesce(g.came, 0) AS score, n.base FROM w{i - 1} n LEFT JOIN (SELECT f.dst, sum(p.score * f.share) AS came FROM w{i - 1} p JOIN f ON f.src = p.node GROUP BY f.dst) g ON g.dst = n.node)" for i in range(1, rounds + 1)
     )
     return f"""l0 AS (SELECT rid, 'e' || entity_id AS e, CASE WHEN coalesce(confidence, 0) = 0 THEN 1.0 ELSE confidence END AS w FROM bundle_entities), e0 AS (SELECT e AS src, rid AS dst, w FROM l0 UNION ALL SELECT rid, e, w FROM l0), e1 AS (SELECT src, dst, sum(w) AS w FROM e0 GROUP BY 1, 2),
-    tt AS (SELECT src, sum(w) AS total FROM e1 GROUP BY src), f AS (SELECT src, dst, w / total AS share FROM e1 JOIN tt USING (src)), nn AS (SELECT DISTINCT src AS node FROM e1), sd AS (SELECT node FROM nn WHERE node IN ({seeds})),
-    w0 AS (SELECT node, b AS score, b AS base FROM (SELECT node, CASE WHEN node IN (SELECT node FROM sd) THEN 1.0 / (SELECT count(*) FROM sd) ELSE 0.0 END AS b FROM nn)), {steps},
+    tt AS (SELECT src, sum(w) AS total FROM e1 GROUP BY src), f AS MATERIALIZED (SELECT src, dst, w / total AS share FROM e1 JOIN tt USING (src)), nn AS MATERIALIZED (SELECT DISTINCT src AS node FROM e1), sd AS MATERIALIZED (SELECT node FROM nn WHERE node IN ({seeds})),
+    w0 AS MATERIALIZED (SELECT node, b AS score, b AS base FROM (SELECT node, CASE WHEN node IN (SELECT node FROM sd) THEN 1.0 / (SELECT count(*) FROM sd) ELSE 0.0 END AS b FROM nn)), {steps},
     top AS (SELECT node, round(score, 12) AS score FROM w{rounds} WHERE node LIKE 'e%' AND node NOT LIKE '%:%' AND round(score, 12) > 0 ORDER BY round(score, 12) DESC, node LIMIT {nodes}),
     ent AS (SELECT l0.rid, max(top.score) AS score FROM l0 JOIN top ON top.node = l0.e GROUP BY l0.rid)"""
 
