@@ -46,7 +46,7 @@ def stm07(spark, d):
     from pyspark.sql import functions as F
 
     base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    stream = spark.readStream.schema(table(spark, d, "events").schema).option("maxFilesPerTrigger", 16).parquet(f"{d}/events.parquet*")
     calls = stream.select(F.col("event_type").alias("service"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"), (F.col("value") < 450).alias("ok")).withColumn("at", F.col("at") / 1e6)
     S.run_once(S.breaker(calls), f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").groupBy("service", "state").agg(F.count(F.lit(1)).alias("calls"), F.count("event").alias("events"))
