@@ -7,10 +7,13 @@ Scores are BM25. Words are lower-case runs of letters and digits.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,6 +22,8 @@ from quillmesh.functions.text import tokens
 from quillmesh.runtime import kept, shuffle_partitions, stored
 
 K1, B = 1.2, 0.75
+#: Of a search for many queries: most and least texts of a block, different sets of words of a chunk.
+BLOCK, LEAST_BLOCK, CHUNK = 1 << 18, 1 << 14, 1 << 16
 
 
 @dataclass
@@ -143,25 +148,98 @@ def search(index: DataFrame, size: DataFrame, query: str, key: str = "rid", wher
 def search_many(index: DataFrame, size: DataFrame, queries: DataFrame, most: int = 20, key: str = "rid") -> DataFrame:
     """``(query_id, key, rank, pos)``: the best texts with all words of each of many queries (query_id, query), in one pass.
 
-    Only the postings of a query's rarest word make candidates; the other words are looked up for these. The best are
-    found within salts before they are found within a query. Queries without words, or with an unknown one, have no hits.
+    Of the index only the words that are asked for are kept, a row for each text. Blocks of texts meet chunks of
+    different sets of words; within a block the lists of a set's words are intersected, and only its best hits leave
+    it, so candidates never become rows. Queries without words, or with an unknown one, have no hits.
     """
-    words = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("w")).where(F.size("w") > 0)
-    asked = words.select("query_id", F.size("w").alias("wanted"), F.explode("w").alias("lexeme"))
+    words = queries.select("query_id", F.array_sort(F.array_distinct(tokens(F.col("query")))).alias("w")).where(F.size("w") > 0)
+    sets = stored(words.select("w").distinct())
+    asked = stored(sets.select(F.explode("w").alias("lexeme")).distinct())  # its size on disk lets the optimizer broadcast it
     known = [c for c in ("df",) if c in index.columns]
-    hits = index.select("lexeme", key, "tf", "size", *known).join(asked.select("lexeme").distinct(), "lexeme", "left_semi")
-    df = hits.groupBy("lexeme").agg(F.max("df").alias("df") if known else F.count(F.lit(1)).alias("df"))
-    scored = hits.drop("df").join(df, "lexeme").crossJoin(F.broadcast(size)).select("lexeme", key, bm25(F.col("tf"), F.col("size"), F.col("df"), F.col("docs"), F.col("mean")).alias("s"))  # one row
-    plan = asked.join(df, "lexeme").groupBy("query_id", "wanted").agg(F.array_sort(F.collect_list(F.struct("df", "lexeme"))).alias("by"))  # as many words as a query has
-    plan = plan.where(F.size("by") == F.col("wanted")).select("query_id", F.transform("by", lambda x: x["lexeme"]).alias("by"))
-    first = plan.select("query_id", "by", F.col("by")[0].alias("lexeme")).join(scored, "lexeme")
-    alone = first.where(F.size("by") == 1).select("query_id", key, F.col("s").alias("rank"))
-    more = first.where(F.size("by") > 1).select("query_id", key, F.col("s").alias("lead"), F.size("by").alias("n"), F.explode(F.slice("by", 2, F.size("by"))).alias("lexeme"))
-    rest = more.join(scored, ["lexeme", key]).groupBy("query_id", key, "lead", "n").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("met")).where("met = n - 1")
-    found = alone.unionByName(rest.select("query_id", key, (F.col("lead") + F.col("s")).alias("rank")))
-    found = found.select("query_id", key, F.round("rank", 5).alias("rank"), F.pmod(F.xxhash64(key), F.lit(16)).alias("salt"))
-    part = found.withColumn("pos", F.row_number().over(W.partitionBy("query_id", "salt").orderBy(F.desc("rank"), key))).where(F.col("pos") <= most)
-    return part.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rank"), key))).where(F.col("pos") <= most).drop("salt")
+    hits = index.select("lexeme", key, "tf", "size", *known).join(asked, "lexeme", "left_semi")
+    texts = stored(hits.groupBy(key).agg(F.first("size").cast("long").alias("size"), F.collect_list(F.struct("lexeme", F.col("tf").cast("long").alias("tf"), *known)).alias("words")))
+    df = texts.select(F.explode("words").alias("x")).groupBy("x.lexeme").agg((F.max("x.df") if known else F.count(F.lit(1))).cast("long").alias("df"))
+    plan = sets.select("w", F.explode("w").alias("lexeme")).join(df, "lexeme").groupBy("w").agg(F.array_sort(F.collect_list(F.struct("df", "lexeme"))).alias("by"))  # as many words as a query has
+    plan = plan.where(F.size("by") == F.size("w")).crossJoin(F.broadcast(size)).select("w", "by", F.col("docs").cast("long").alias("docs"), "mean")  # one row
+    n = texts.count()
+    blocks = max(-(-n // BLOCK), min(index.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST_BLOCK)), 1)
+    chunks = max(-(-sets.count() // CHUNK), 1)
+    left = texts.select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), F.col(key).alias("key"), "size", F.transform("words", lambda x: F.struct(x["lexeme"].alias("lexeme"), x["tf"].alias("tf"))).alias("words"))
+    right = plan.select(F.pmod(F.xxhash64("w"), F.lit(chunks)).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "w", "by", "docs", "mean")
+    kind = index.schema[key].dataType.simpleString()
+    found = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInArrow(_best_of_block(most), f"w array<string>, key {kind}, rank double")
+    best = found.withColumn("pos", F.row_number().over(W.partitionBy("w").orderBy(F.desc("rank"), "key"))).where(F.col("pos") <= most)
+    return words.join(best, "w").select("query_id", F.col("key").alias(key), "rank", "pos")
+
+
+def _best_of_block(most: int):
+    """A function of one block's texts (key, size, words) and one chunk's sets (w, by, docs, mean): a set's best texts."""
+
+    def run(texts: pa.Table, sets: pa.Table) -> pa.Table:
+        kinds = pa.schema([("w", pa.list_(pa.string())), ("key", texts.schema.field("key").type), ("rank", pa.float64())])
+        if not texts.num_rows or not sets.num_rows:
+            return kinds.empty_table()
+        texts = texts.sort_by("key").combine_chunks()  # so that places are in order of keys
+        held = texts["words"].combine_chunks()
+        values, size = held.flatten(), texts["size"].to_numpy().astype(np.float64)
+        place = np.repeat(np.arange(len(held)), held.value_lengths().to_numpy())
+        coded = values.field("lexeme").dictionary_encode()
+        code, tf = coded.indices.to_numpy(), values.field("tf").to_numpy().astype(np.float64)
+        order = np.argsort(code, kind="stable")
+        place, tf = place[order], tf[order]
+        names = coded.dictionary.to_pylist()
+        ends = np.searchsorted(code[order], np.arange(len(names) + 1))
+        at = {w: (place[a:b], tf[a:b]) for w, a, b in zip(names, ends, ends[1:], strict=False)}
+        bits: dict[str, np.ndarray] = {}  # of words in many texts: few words can be
+
+        def mask(w: str) -> np.ndarray:
+            if w not in bits:
+                whole = np.zeros(len(size), dtype=bool)
+                whole[at[w][0]] = True
+                bits[w] = np.packbits(whole)
+            return bits[w]
+
+        def within(words: list[str]) -> np.ndarray:
+            """Places of the texts that hold all of these words."""
+            words = sorted(words, key=lambda w: len(at[w][0]))
+            dense = [w for w in words if len(at[w][0]) * 32 >= len(size)]
+            rare = words[: len(words) - len(dense)]
+            if not rare:
+                both = mask(dense[0])
+                for w in dense[1:]:
+                    both = both & mask(w)
+                some = np.flatnonzero(both)
+                row, bit = np.nonzero(np.unpackbits(both[some]).reshape(-1, 8))
+                return some[row] * 8 + bit
+            here = at[rare[0]][0]
+            for w in rare[1:]:
+                other = at[w][0]
+                here = here[other[np.minimum(np.searchsorted(other, here), len(other) - 1)] == here]
+            for w in dense:
+                here = here[(mask(w)[here >> 3] >> (7 - (here & 7))) & 1 == 1]
+            return here
+
+        docs, mean = sets["docs"][0].as_py(), sets["mean"][0].as_py()
+        rows, places, ranks = [], [], []
+        for n, by in enumerate(sets["by"].to_pylist()):
+            here = within([x["lexeme"] for x in by]) if all(x["lexeme"] in at for x in by) else ()
+            if not len(here):
+                continue
+            rank = np.zeros(len(here))
+            for x in by:
+                where, often = at[x["lexeme"]]
+                t = often[np.searchsorted(where, here)]
+                rank += math.log(1 + (docs - x["df"] + 0.5) / (x["df"] + 0.5)) * t * (K1 + 1) / (t + K1 * (1 - B + B * size[here] / mean))
+            rank = np.floor(rank * 1e5 + 0.5) / 1e5
+            top = np.argsort(-rank, kind="stable")[:most]
+            rows.append(np.full(len(top), n))
+            places.append(here[top])
+            ranks.append(rank[top])
+        if not rows:
+            return kinds.empty_table()
+        return pa.table([sets["w"].combine_chunks().take(pa.array(np.concatenate(rows))), texts["key"].take(pa.array(np.concatenate(places))), np.concatenate(ranks)], schema=kinds)
+
+    return run
 
 
 def headline(text: Column, words: list[str], most: int = 3, length: int = 20) -> Column:

@@ -198,6 +198,43 @@ def test_many_queries(spark):
     assert {r.rid: r["rank"] for r in got if r.query_id == "1"} == one
 
 
+def shuffled(spark):
+    """Rows that all stages so far wrote to shuffles."""
+    jvm = spark._jvm
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_candidates_of_many_queries_are_no_rows(spark):
+    heads = [f"h{i:02}" for i in range(12)]
+    docs = fulltext.tokenised(spark.createDataFrame([(f"d{i:03}", f"common often {heads[i % 12]} {heads[i % 5]}") for i in range(600)], "rid string, search_text string"))
+    asked = spark.createDataFrame([(i, f"common often {heads[i % 12]} {heads[i // 12 % 12]}") for i in range(600)], "query_id int, query string")
+    index, size = fulltext.frequencies(docs), fulltext.corpus_size(docs)
+    before = shuffled(spark)
+    got = fulltext.search_many(index, size, asked).collect()
+    written = sum(n for stage, n in shuffled(spark).items() if stage not in before)
+    assert len(got) > 600 and written < 30_000  # 600 queries have 30,000 candidates at their rarest word, and meet each with three words
+
+
+def test_many_queries_in_blocks_and_chunks(spark, monkeypatch):
+    rows = [(f"d{i:03}", " ".join(w for n, w in ((2, "two"), (3, "three"), (5, "five"), (7, "seven"), (49, "rare")) if i % n == 0)) for i in range(1, 400)]
+    docs = fulltext.tokenised(spark.createDataFrame(rows, "rid string, search_text string"))
+    texts = ["two three", "three TWO three", "five", "two three five seven", "rare two", "rare seven", "five none", "..."]
+    asked = spark.createDataFrame(list(enumerate(texts)), "query_id int, query string")
+    index, size = fulltext.frequencies(docs), fulltext.corpus_size(docs)
+    for block, chunk in ((1 << 18, 1 << 16), (50, 2)):
+        monkeypatch.setattr(fulltext, "BLOCK", block)
+        monkeypatch.setattr(fulltext, "CHUNK", chunk)
+        got = {}
+        for r in fulltext.search_many(index, size, asked, most=9).orderBy("query_id", "pos").collect():
+            got.setdefault(r.query_id, []).append((r.rid, r["rank"]))
+        assert set(got) == {0, 1, 2, 3, 4, 5} and got[0] == got[1]
+        for n, hits in got.items():
+            one = fulltext.search(fulltext.postings(docs), size, texts[n]).select("rid", F.round("rank", 5).alias("rank")).orderBy(F.desc("rank"), "rid").limit(9).collect()
+            assert hits == [tuple(r) for r in one]
+
+
 def test_whole_texts_are_embedded(spark):
     embed = retrieval.EMBEDDERS.create("hashing", 16)
     r = spark.createDataFrame([("word " * 1000, "word " * 1000 + "others at the end " * 300)], "a string, b string").select(embed("a").alias("a"), embed("b").alias("b")).first()
